@@ -40,3 +40,24 @@ def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of jobs that are over and written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, th): each row packed into one column, so that no name of the table can clash, and what identifies it.
+
+    ``th`` is the hash of the text, null counting as empty; rows of one doc_id and text are treated alike.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+
+
+def join_documents(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on (doc_id, th), nulls equal; the right side's keys are dropped."""
+    r = right.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    return left.join(r, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), how).drop("_id", "_th")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed):
+    """The columns of packed rows, some of them replaced."""
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in columns))
