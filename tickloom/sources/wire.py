@@ -72,6 +72,14 @@ def _double(data: Column, at: Column) -> Column:
     return F.transform(F.array(bits), value)[0]
 
 
+def _text_at(data: Column, width: int):
+    return lambda i: F.rtrim(F.substr(data, i + 1, F.lit(width)).cast("string"), F.lit("\0"))
+
+
+def _number_at(data: Column, width: int):
+    return lambda i: _unsigned(data, i, width)
+
+
 def decoded(messages: DataFrame, data: str = "message") -> DataFrame:
     """The columns of each message and ``error``, null for sound ones; checks come in a fixed order.
 
@@ -85,11 +93,11 @@ def decoded(messages: DataFrame, data: str = "message") -> DataFrame:
     for k, names in kinds.items():
         at = F.array(*(F.lit(spots[n][0]) for n in names))
         if k.endswith("s"):
-            cut[k] = F.transform(at, lambda i, k=k: F.rtrim(F.lit("\0"), F.substr(m, i + 1, F.lit(WIDTH[k])).cast("string")))
+            cut[k] = F.transform(at, _text_at(m, WIDTH[k]))
         elif k == "d":
             cut[k] = F.transform(at, lambda i: _double(m, i))
         else:
-            cut[k] = F.transform(at, lambda i, k=k: _unsigned(m, i, WIDTH[k]))
+            cut[k] = F.transform(at, _number_at(m, WIDTH[k]))
     body = F.substring(m, 1, HEADER + PAYLOAD)
     rows = messages.withColumns({f"_{k}": F.when(F.octet_length(m) == SIZE, v) for k, v in cut.items()} | {"_crc": F.crc32(body) == _unsigned(m, HEADER + PAYLOAD, 4)})
     value = {n: F.col(f"_{k}")[kinds[k].index(n)] for n, (_, k) in spots.items()}
