@@ -32,20 +32,20 @@ class WaveletMatrix:
             self.count.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.uint32 if self.n < 1 << 32 else np.int64))
             self.zeros.append(self.n - int(one.sum()))
             now = np.concatenate([now[~one], now[one]])
-        # where each symbol's occurrences begin in the last plane's order
-        self.start = np.zeros(1 << self.levels, np.int64)
-        code, seen = np.unique(now, return_index=True)
-        self.start[code] = seen
+        # where each symbol's occurrences begin (or would) in the last plane's order
+        self.start = self._walk(np.arange(1 << self.levels), np.zeros(1 << self.levels, np.int64))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before its position."""
-        at = at.copy()
+        return self._walk(symbol, at) - self.start[symbol]
+
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(reversed(range(self.levels))):
             word = at >> 6
             below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
             ones = self.count[k][word].astype(np.int64) + np.bitwise_count(self.bits[k][word] & below)
             at = np.where(symbol >> level & 1, self.zeros[k] + ones, at - ones)
-        return at - self.start[symbol]
+        return at
 
 
 class FMIndex:
