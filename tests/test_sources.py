@@ -182,3 +182,35 @@ def test_config_files(tmp_path):
     assert "dns4" in open(path).read()
     with pytest.raises(ValueError):
         tables.save_config(path, '{"version": 1}', now)
+
+
+def test_frames(spark):
+    from tickloom.sources import frames
+
+    eth = b"\0" * 12
+    ip = lambda proto, opts=b"": bytes([0x45 + len(opts) // 4, 0]) + struct.pack(">HHHBBHII", 60, 0, 0x2001, 64, proto, 0, 0xC0000201, 0x0A000001) + opts
+    tcp = struct.pack(">HHIIBBHHH", 443, 9000, 0, 0, 0x60, 0x12, 77, 0, 0)
+    cases = [eth + b"\x08\0" + ip(6) + tcp, eth + b"\x81\0\0\x05\x08\0" + ip(6, b"\0" * 4) + tcp, eth + b"\x08\0" + ip(1) + b"\x08\0", eth + b"\x86\xdd" + b"\0" * 60, eth + b"\x08\0" + ip(17)[:10], eth, b"", None]
+    got = frames.parsed(spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, c in enumerate(cases)], "tick long, frame binary")).orderBy("tick").collect()
+    assert [r.tick for r in got] == [0, 1, 2]
+    for r in got[:2]:
+        assert (r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.tcp_flags, r.tcp_data_off_bytes, r.tcp_win, r.frag_off) == (0xC0000201, 0x0A000001, 443, 9000, 0x12, 24, 77, 0x2001)
+    assert got[1].ihl_bytes == 24 and (got[2].icmp_type, got[2].src_port) == (8, 0)
+
+
+def test_commands_and_reload(spark):
+    from tickloom import commands
+
+    doc, bad = load(spark), load(spark, lambda d: d.update(version=3))
+    assert commands.reloaded(None, doc)[0] is doc
+    kept, found = commands.reloaded(doc, bad)
+    assert kept is doc and [v.rule for v in found] == ["L1"]
+    row = commands.reload_event(spark, doc, found, "/x", "2024-01-01 00:00:00", 2, 1).first()
+    assert (row.event_type, row.n_total_slots, row.n_catchalls, row.reload_failures) == ("reload_failed", 7, 5, 1) and "L1" in row.error_message
+    assert commands.request(spark, 5, 1, 80, 1, "force_ewma_freeze", {"ticks": 3}).first().args_json == '{"ticks": 3}'
+    with pytest.raises(ValueError):
+        commands.request(spark, 5, 1, 80, 1, "explode")
+    from tickloom.operators import step
+
+    s = spark.createDataFrame([(1, 80, 1, step.dumped(step.fresh(step.DEFAULT_PROFILE)))], "target_ip long, port int, proto_kind int, state string")
+    assert commands.slot_info(s).first().warmup_remaining == 400

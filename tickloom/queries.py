@@ -18,7 +18,7 @@ from tickloom import schemas
 from tickloom.functions import scalars
 from tickloom.operators import detect, facts, features, routing, sketches, ticks, windows
 from tickloom.plans import catalogue
-from tickloom.sources import registry, wire
+from tickloom.sources import frames, registry, wire
 from tickloom.sources.adapters import EPOCH_S, PACKETS_SQL, REGISTRY_JSON, SERVICE_IP, packets_from_lineitem
 
 AS_OF_TICK = 340
@@ -177,6 +177,16 @@ def registry_valid(spark, d):
     return registry.violations(_document(spark), "engine").agg(F.count("*").alias("n"))
 
 
+_FRAME_FIELDS = ["src_ip", "dst_ip", "total_len", "ttl", "frag_off", "src_port", "dst_port", "icmp_type"]
+_TCP_FIELDS = ["tcp_flags", "tcp_data_off_bytes", "tcp_win"]
+
+
+@query("frames_parsed", f"WITH {PACKETS_SQL} SELECT tick, count(*) AS n, {', '.join(f'CAST(sum(' + ('CASE WHEN ip_proto = 1 THEN icmp_type ELSE 0 END' if c == 'icmp_type' else c) + f') AS BIGINT) AS {c}' for c in _FRAME_FIELDS)}, {', '.join(f'CAST(sum(CASE WHEN ip_proto = 6 THEN {c} ELSE 0 END) AS BIGINT) AS {c}' for c in _TCP_FIELDS)} FROM packets GROUP BY tick")
+def frames_parsed(spark, d):
+    raw = frames.encoded(_packets(spark, d), F.col("src_port") % 2 == 0)
+    return frames.parsed(raw).groupBy("tick").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in _FRAME_FIELDS + _TCP_FIELDS))
+
+
 # --- routing -------------------------------------------------------------------
 
 
