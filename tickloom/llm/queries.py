@@ -23,7 +23,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (
+  SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1
+)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND n >= 1000
+"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.SQL,
     "op2_line_dedup": linededup.SQL,
+    "op4_warc": _WARC_SQL,
     "op6_decontamination": decontaminate.SQL,
 }
