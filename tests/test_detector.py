@@ -221,3 +221,25 @@ def test_native_average_is_the_steps(spark):
             if kk == k:
                 step.train(b, x, 0.05, 6.0)
         assert got[k]["mean"] == pytest.approx(b[0]) and got[k]["variance"] == pytest.approx(b[1]) and got[k]["n"] == b[2]
+
+
+def test_shadow_and_counters(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tickloom.streaming import live
+
+    rows = spark.createDataFrame([(s, t * 10**9, 10 + t, 1 + 2 * (t == 3), 0.5, 1) for s in (1, 2) for t in range(5)], "slot_id int, timestamp_ns long, inbound_pkts long, phase int, tier0_score double, absolute_floor_fired int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = live.Counters()
+    spark.streams.addListener(seen)
+    stream = live.counted(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = live.shadowed(stream, str(tmp_path / "cp"), lambda b: b, lambda b: b.withColumn("tier0_score", F.when(F.col("slot_id") == 2, 0.75).otherwise(F.col("tier0_score"))), str(tmp_path / "out"), ["inbound_pkts"], ["tier0_score"])
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 5 and {(r.slot_id, r.field, r.ours, r.theirs) for r in got} == {(2, "tier0_score", 0.5, 0.75)}
+    for _ in range(50):
+        if seen.stopped:
+            break
+        __import__("time").sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert seen.rows_in >= 10 and seen.failed == 0 and seen.observed["facts"]["attack_rows"] >= 2

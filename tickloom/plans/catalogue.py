@@ -224,3 +224,8 @@ def searched(slots: DataFrame, text: str = "", phase: str = "", proto: str = "")
     out = slots.where(F.lower(F.concat_ws(" ", "target_ip_str", F.col("port").cast("string"), F.col("slot_id").cast("string"), "profile_name")).contains(text.lower().strip()))
     out = out.where(F.col("phase_str") == phase) if phase else out
     return out.where(F.col("proto_kind_str") == proto) if proto else out
+
+
+def payloads(result: DataFrame) -> DataFrame:
+    """Each row of a query's result as a JSON object, as a web server would send it."""
+    return result.select(F.to_json(F.struct(*result.columns)).alias("payload"))

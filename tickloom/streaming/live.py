@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.cluster import ship_package
@@ -87,3 +88,44 @@ def new_records(snapshots: DataFrame, late: str = "1 minute") -> DataFrame:
     """Snapshot records without those of a tick and slot that came before."""
     timed = snapshots.withColumn("_at", F.timestamp_seconds(F.col("produced_ts_ns") / 1_000_000_000))
     return timed.withWatermark("_at", late).dropDuplicatesWithinWatermark(["slot_id", "tick"]).drop("_at")
+
+
+def shadowed(stream: DataFrame, checkpoint: str, ours: Callable[[DataFrame], DataFrame], theirs: Callable[[DataFrame], DataFrame], path: str, exact: list[str], close: list[str]):
+    """Run two detectors on the same micro-batches and append where their results differ."""
+    from tickloom.operators.facts import differences
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        differences(ours(batch), theirs(batch), exact, close).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return into(stream, checkpoint, write)
+
+
+class Counters(StreamingQueryListener):
+    """What a query has taken in and written, from its progress events; register it with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.batches = self.rows_in = self.started = self.stopped = self.failed = 0
+        self.observed: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.started += 1
+
+    def onQueryProgress(self, event) -> None:
+        self.batches += 1
+        self.rows_in += event.progress.numInputRows
+        for name, row in (event.progress.observedMetrics or {}).items():
+            now = self.observed.setdefault(name, {})
+            for k, v in row.asDict().items():
+                now[k] = now.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.stopped += 1
+        self.failed += event.exception is not None
+
+
+def counted(stats: DataFrame, name: str = "facts") -> DataFrame:
+    """Statistics rows that also count rows, transitions candidates and floor breaches as metrics of each batch."""
+    return stats.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("phase") == 3).alias("attack_rows"), F.sum(F.col("absolute_floor_fired").cast("long")).alias("floor_rows"))
