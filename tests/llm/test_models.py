@@ -57,7 +57,7 @@ def test_lm_scores(spark, shard, monkeypatch):
     monkeypatch.setattr(lm, "HOT_SHARE", 1 / 50)
     docs = frame(spark).select("doc_id", "text")
     model = lm.trained(docs.where(lm.bucket5() != 1), shard, shard)
-    words = [(i, [w.encode() for w in (t or "").encode().lower().decode().split(" ")] if False else (t or "").encode().lower().split()) for i, t in rows()]
+    words = [(i, (t or "").encode().lower().split()) for i, t in rows()]
     counts, pairs = Counter(), Counter()
     for i, w in words:
         if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
@@ -133,8 +133,9 @@ def test_packing_plan(histogram):
         for k, n in combo:
             used[k] += times * n
     assert used == Counter(histogram)
-    n, low = sum(t for t, _ in bins), -(-sum(k * v for k, v in histogram.items()) // 64)
-    assert n <= low * 4 / 3 + 1
+    # no packing can do with fewer than the sum asks for, nor put two of more than half into one
+    n, low = sum(t for t, _ in bins), max(-(-sum(k * v for k, v in histogram.items()) // 64), sum(v for k, v in histogram.items() if k > 32))
+    assert n <= low * 1.5 + 1
 
 
 @settings(max_examples=40, deadline=None)
