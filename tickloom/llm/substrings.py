@@ -3,7 +3,7 @@
 Windows of ``WINDOW`` words are dealt to shards by their minimizer, the smallest hash
 of the ``GRAM``-word grams in the window: equal windows have equal minimizers, so all
 copies of a window meet in one shard, and neighbouring windows that share one travel
-as one segment.  Each shard builds a compressed FM-index (:mod:`fmindex`) over its
+as one segment, packed with others for the same shard.  Each shard builds a compressed FM-index (:mod:`fmindex`) over its
 distinct segments and streams the segments of all documents through it by backward
 search; the matching statistics give, for every window, its earliest start, and
 intervals above the threshold are reported.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
@@ -37,11 +38,11 @@ from tickloom.llm.common import bytes_list, join_documents, map_arrow, whole_row
 from tickloom.llm.fmindex import window_firsts
 
 WINDOW = 20
-GRAM = 6
+GRAM = 4
 #: Text bytes for each shard, about.
 SHARD_BYTES = 8 << 20
 #: Bytes of documents at most on which frequent grams are estimated; for placement only.
-HOT_SAMPLE = 64 << 20
+HOT_SAMPLE = 16 << 20
 #: A gram is frequent if it makes up more than this share of the sample; so there are 1 / HOT_SHARE at most.
 HOT_SHARE = 1 / 20_000
 CHUNK_WORDS = 500_000
@@ -116,7 +117,27 @@ def frequent_grams(docs: DataFrame, total: int, gram: int = GRAM, sample: int =
     return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
 
 
-SEGMENTS = "shard long, key long, doc_id long, th long, start int, n int, seg binary"
+SEGMENTS = "shard long, block binary"
+
+
+def packed(key: np.ndarray, owner: list[tuple], start: np.ndarray, n: np.ndarray, text: list[bytes | None]) -> bytes:
+    """Segments as one compressed block; those without a text have a negative length."""
+    known = np.array([t is not None for t in text])
+    ids = np.array([d or 0 for d, _ in owner], np.int64)
+    valid = np.array([d is not None for d, _ in owner])
+    th = np.array([t for _, t in owner], np.int64)
+    head = [key.astype(np.uint64), ids, th, start.astype(np.int32), np.where(known, n, -n).astype(np.int32), valid.astype(np.uint8)]
+    return zstandard.compress(len(key).to_bytes(4, "little") + b"".join(a.tobytes() for a in head) + b"\n".join(t for t in text if t is not None), 3)
+
+
+def opened(block: bytes) -> tuple[list[np.ndarray], list[bytes]]:
+    """(key, doc_id, th, start, n, valid) and the texts of those that have one."""
+    raw = zstandard.decompress(block)
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for kind in (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out, raw[at:].split(b"\n") if (out[4] > 0).any() else []
 
 
 def dealt(docs: DataFrame, shards: int, hot: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -145,10 +166,10 @@ def dealt(docs: DataFrame, shards: int, hot: np.ndarray, window: int = WINDOW, g
                         common.clear()
                     common[text[k]] = here
             shard = (key * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(1)).astype(np.int64) % shards
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(key.view(np.int64)), pa.array([owners[k][0] for k in own.tolist()], pa.int64()), pa.array([owners[k][1] for k in own.tolist()], pa.int64()), pa.array(start.astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(text, pa.binary())],
-                names=["shard", "key", "doc_id", "th", "start", "n", "seg"],
-            )
+            order_of = np.argsort(shard, kind="stable")
+            parts = np.split(order_of, np.flatnonzero(np.diff(shard[order_of])) + 1) if len(order_of) else []
+            blocks = [packed(key[p], [owners[k] for k in own[p].tolist()], start[p], (end - first)[p], [text[k] for k in p.tolist()]) for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
         for b in batches:
             words, owners, lengths = [], [], []
@@ -174,24 +195,26 @@ def dealt(docs: DataFrame, shards: int, hot: np.ndarray, window: int = WINDOW, g
     return map_arrow(docs.select("doc_id", "text", "th"), run, SEGMENTS)
 
 
-def repeated(shard: pa.RecordBatch, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, from, to) of the stretches of the shard's segments whose windows start earlier elsewhere."""
-    key = shard.column(1).to_numpy()
-    start, n = (shard.column(i).to_numpy().astype(np.int64) for i in (4, 5))
-    settled = shard.column(6).is_null().to_numpy(zero_copy_only=False)
-    done = np.flatnonzero(settled)
+def repeated(blocks: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(doc_id, valid, th, from, to) of the stretches of a shard's segments whose windows start earlier elsewhere."""
+    parts = [opened(b) for b in blocks]
+    key, doc_id, th, start, n, valid = (np.concatenate([p[0][k] for p in parts]).astype(np.uint64 if k == 0 else np.int64) for k in range(6))
+    texts = [t for p in parts for t in p[1]]
+    done = np.flatnonzero(n < 0)
+    n = np.abs(n)
+    has_text = np.ones(len(n), bool)
+    has_text[done] = False
+    spot = np.cumsum(has_text) - 1
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(~settled & (count[back] > 1))
+    rows = np.flatnonzero(has_text & (count[back] > 1))
     out = [(done, start[done], start[done] + n[done])]
     if len(rows):
-        doc_id = shard.column(2).take(pa.array(rows))
-        valid = doc_id.is_valid().to_numpy(zero_copy_only=False)
-        ids = doc_id.fill_null(0).to_numpy()
-        by = np.lexsort((ids, valid))
+        by = np.lexsort((doc_id[rows], valid[rows]))
+        ids, known = doc_id[rows][by], valid[rows][by]
         rank = np.zeros(len(rows), np.int64)
-        rank[by] = np.cumsum(np.append(False, (ids[by][1:] != ids[by][:-1]) | (valid[by][1:] != valid[by][:-1])))
+        rank[by] = np.cumsum(np.append(False, (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])))
         place = (rank << 32) + start[rows]
-        coded = shard.column(6).take(pa.array(rows)).dictionary_encode()
+        coded = pa.array([texts[k] for k in spot[rows].tolist()], pa.binary()).dictionary_encode()
         code = coded.indices.to_numpy().astype(np.int64)
         first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
         np.minimum.at(first, code, place)
@@ -221,7 +244,8 @@ def repeated(shard: pa.RecordBatch, window: int = WINDOW) -> tuple[np.ndarray, n
             tail = np.append(head[1:], len(row)) - 1
             r = rows[row[head]]
             out.append((r, start[r] + step[head], start[r] + step[tail] + window))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    row, a, z = (np.concatenate(x) for x in zip(*out, strict=True))
+    return doc_id[row], valid[row], th[row], a, z
 
 
 def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +284,8 @@ def intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_shards(batches):
-            row, a, z = repeated(b, window)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(3).take(at), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["doc_id", "th", "from", "to"])
+            doc_id, valid, th, a, z = repeated(b.column(1).to_pylist(), window)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, mask=valid == 0), pa.array(th), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["doc_id", "th", "from", "to"])
 
     parts = dealt(docs, shards, hot, window, gram).repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard")
     return map_arrow(parts, run, "doc_id long, th long, from int, to int")
