@@ -24,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.cluster import written
 from tickloom.llm.common import join_documents, unpacked, whole_rows
-from tickloom.llm.native import LOWER, UPPER, changes, let, upto, window_minima
+from tickloom.llm.native import LOWER, UPPER, changes, grams, let, piece, upto, window_minima
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased, for counting.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
 #: Windows of about 100 bytes each; more are shuffled.
@@ -35,7 +39,7 @@ BROADCAST_WINDOWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def _hashed(df: DataFrame, *keep: Column, text: str = "text") -> DataFrame:
@@ -45,15 +49,14 @@ def _hashed(df: DataFrame, *keep: Column, text: str = "text") -> DataFrame:
 
 def _fingerprints(hw: Column, n: Column, window: int, gram: int) -> Column:
     """The fingerprint of each window: the smallest hash of its grams."""
-    grams = let(hw, lambda h: F.transform(upto(n - (gram - 1)), lambda i: F.xxhash64(*(h[i + k] for k in range(gram)))))
-    return window_minima(grams, n - (gram - 1), window - gram + 1)
+    return let(grams(hw, n, gram), lambda g: window_minima(g, n - (gram - 1), window - gram + 1))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(item_id, fp, win) for each window of each item; fp is null for windows that are shorter."""
     h = _hashed(items, F.col("item_id"))
     whole = h.where(f"n >= {window}").withColumn("fps", _fingerprints(F.col("hw"), F.col("n"), window, gram))
-    each = let(F.struct("hw", "fps"), lambda s: F.transform(s["fps"], lambda fp, i: F.struct(fp.alias("fp"), F.slice(s["hw"], i + 1, window).alias("win"))))
+    each = let(F.struct("hw", "fps"), lambda s: F.transform(s["fps"], lambda fp, i: F.struct(fp.alias("fp"), piece(s["hw"], i, F.lit(window)).alias("win"))))
     long = whole.select("item_id", F.inline(each))
     short = h.where(f"n between 1 and {window - 1}").select("item_id", F.lit(None).cast("long").alias("fp"), F.col("hw").alias("win"))
     return long.unionByName(short).distinct()
@@ -63,25 +66,29 @@ def hits(docs: DataFrame, wins: DataFrame, window: int = WINDOW, gram: int = GRA
     """(doc_id, th, start, win) for each occurrence of a benchmark window; th is the text's hash."""
     put = F.broadcast if small else (lambda x: x)
     h = _hashed(docs, F.col("doc_id"), F.col("th"))
-    runs = h.where(f"n >= {window}").withColumn("fps", _fingerprints(F.col("hw"), F.col("n"), window, gram))
+    # no filter on n: it would be pushed below and cut the words once more
+    runs = h.withColumn("fps", _fingerprints(F.col("hw"), F.col("n"), window, gram))
     runs = runs.withColumn("at", changes(F.col("fps"), F.size("fps")))
     each = let(
         F.struct("hw", "fps", "at"),
-        lambda s: F.transform(s["at"], lambda a, j: F.struct(s["fps"][a].alias("fp"), a.alias("start"), F.slice(s["hw"], a + 1, F.coalesce(F.get(s["at"], j + 1), F.size(s["fps"])) - a + (window - 1)).alias("around"))),
+        lambda s: F.transform(s["at"], lambda a, j: F.struct(s["fps"][a].alias("fp"), a.alias("start"), piece(s["hw"], a, F.coalesce(F.get(s["at"], j + 1), F.size(s["fps"])) - a + (window - 1)).alias("around"))),
     )
     found = runs.select("doc_id", "th", F.inline(each)).join(put(wins.where("fp is not null").select("fp").distinct()), "fp", "left_semi")
-    spread = let(F.col("around"), lambda x: F.transform(upto(F.size(x) - (window - 1)), lambda i: F.slice(x, i + 1, window)))
+    spread = let(F.col("around"), lambda x: F.transform(upto(F.size(x) - (window - 1)), lambda i: piece(x, i, F.lit(window))))
     cand = found.select("doc_id", "th", "start", F.posexplode(spread).alias("k", "win")).select("doc_id", "th", (F.col("start") + F.col("k")).alias("start"), "win")
     for length in short_lengths:
-        every = let(F.struct("hw", "n"), lambda s, length=length: F.transform(upto(s["n"] - (length - 1)), lambda i: F.slice(s["hw"], i + 1, length)))
-        cand = cand.unionByName(h.select("doc_id", "th", F.posexplode(every).alias("start", "win")))
+        cand = cand.unionByName(h.select("doc_id", "th", F.posexplode(_windows_of(length)).alias("start", "win")))
     return cand.join(put(wins.select("win").distinct()), "win", "left_semi")
 
 
+def _windows_of(length: int) -> Column:
+    return let(F.struct("hw", "n"), lambda s: F.transform(upto(s["n"] - (length - 1)), lambda i: piece(s["hw"], i, F.lit(length))))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document."""
     dirty, rows = dirty_documents(docs, items, window, gram), whole_rows(docs)
-    base = rows.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    base = rows.select("doc_id", "th", F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
     zero, none = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
     return join_documents(base, dirty, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
@@ -101,7 +108,8 @@ def dirty_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, gra
     wins = item_windows(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), window, gram)
     size, *lengths = wins.agg(F.count("*"), *(F.max(F.size("win") == n) for n in range(1, window))).first()
     small = size <= BROADCAST_WINDOWS
-    found = hits(docs, wins, window, gram, small, tuple(n for n, there in enumerate(lengths, 1) if there)).select("doc_id", "th", "start", "win")
+    # few rows, used twice below
+    found = written(hits(docs, wins, window, gram, small, tuple(n for n, there in enumerate(lengths, 1) if there)).select("doc_id", "th", "start", "win"), "benchmark-hits")
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("win")).alias("stop"))))
     covered = F.aggregate(
         spans, F.struct(F.lit(0).alias("total"), F.lit(0).alias("end")),

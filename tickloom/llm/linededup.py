@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import join_documents, unpacked, whole_rows
-from tickloom.llm.native import changes, let, upto, window_minima
+from tickloom.llm.native import changes, let, piece, upto, window_minima
 
 MIN_RUN = 2
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -34,11 +34,11 @@ def _runs(docs: DataFrame, min_run: int) -> DataFrame:
     """(doc_id, th, fp, start, around): runs of windows that selected one line, with the lines they cover."""
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HAS_WORD))
     d = docs.select("doc_id", "th", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.unhex(F.md5(x.cast("binary"))).alias("d"))).alias("ls"))
-    d = d.where(F.size("ls") >= min_run).withColumn("fps", window_minima(F.col("ls.h"), F.size("ls"), min_run))
+    d = d.withColumn("fps", window_minima(F.col("ls.h"), F.size("ls"), min_run))
     d = d.withColumn("at", changes(F.col("fps"), F.size("fps")))
     each = let(
         F.struct("ls", "fps", "at"),
-        lambda s: F.transform(s["at"], lambda a, j: F.struct(s["fps"][a].alias("fp"), a.alias("start"), F.slice(s["ls"], a + 1, F.coalesce(F.get(s["at"], j + 1), F.size(s["fps"])) - a + (min_run - 1)).alias("around"))),
+        lambda s: F.transform(s["at"], lambda a, j: F.struct(s["fps"][a].alias("fp"), a.alias("start"), piece(s["ls"], a, F.coalesce(F.get(s["at"], j + 1), F.size(s["fps"])) - a + (min_run - 1)).alias("around"))),
     )
     return d.select("doc_id", "th", F.inline(each))
 
@@ -48,7 +48,7 @@ def removed_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     runs = _runs(docs, min_run)
     # a line may also be selected at two places of one run
     often = runs.select("fp", F.size(let(F.struct("fp", "around"), lambda s: F.filter(s["around"]["h"], lambda h: h == s["fp"]))).alias("n")).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
-    spread = let(F.col("around.d"), lambda x: F.transform(upto(F.size(x) - (min_run - 1)), lambda i: F.array_join(F.transform(F.slice(x, i + 1, min_run), lambda y: F.hex(y)), "")))
+    spread = let(F.col("around.d"), lambda x: F.transform(upto(F.size(x) - (min_run - 1)), lambda i: F.array_join(F.transform(piece(x, i, F.lit(min_run)), lambda y: F.hex(y)), "")))
     wins = runs.join(often, "fp").select("doc_id", "th", "start", F.posexplode(spread).alias("k", "win"))
     wins = wins.select("doc_id", "th", F.struct("doc_id", (F.col("start") + F.col("k")).alias("i")).alias("at"), F.unhex("win").alias("win"))
     first = wins.groupBy("win").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("win", "first")
