@@ -39,8 +39,8 @@ from tickloom.llm.common import id_text, map_arrow
 
 SEQUENCE = 2048
 END = 0
-#: Chunks that a worker remembers at most; it forgets all when full.
-CACHE = 300_000
+#: Chunks in each of the two generations that a worker remembers; the older goes when the newer is full.
+CACHE = 600_000
 #: Pieces in a bucket in which ranks are counted, about.
 BUCKET = 100_000
 
@@ -66,31 +66,31 @@ class ChunkTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
+    def learn(self, chunks: list[str]) -> None:
+        """Have all of these among the known; what was not met for long is forgotten."""
+        new = set(chunks).difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+            self.older, self.known = self.known, {}
+            new = set(chunks)
+        if again := {c for c in new if c in self.older}:
+            self.known.update((c, self.older[c]) for c in again)
+            new -= again
+        ask = list(new)
+        for at in range(0, len(ask), 2000):
+            part = ask[at : at + 2000]
             for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[c] = array("I", e.ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """Token ids of a whole text, as unsigned 32-bit integers."""
-        chunks = _CHUNK.findall(text)
-        known = self.known
-        try:
-            blob = b"".join([known[c] for c in chunks])
-        except KeyError:
-            out = []
-            for at in range(0, len(chunks), CACHE // 2):
-                part = chunks[at : at + CACHE // 2]
-                self.learn(set(part))
-                out.append(b"".join([self.known[c] for c in part]))
-            blob = b"".join(out)
-        return np.frombuffer(blob, "<u4")
+        chunks, out = _CHUNK.findall(text), []
+        for at in range(0, len(chunks), CACHE // 4):
+            part = chunks[at : at + CACHE // 4]
+            self.learn(part)
+            out.append(b"".join(map(self.known.__getitem__, part)))
+        return np.frombuffer(b"".join(out), "<u4")
 
 
 @lru_cache(1)
