@@ -45,8 +45,8 @@ DISCOUNT = 0.75
 HOT_SHARE = 1 / 5000
 WORD_SHARD_BYTES = 48 << 20
 PAIR_SHARD_BYTES = 12 << 20
-BLOCK_TOKENS = 1_500_000
-LOOKUP_TOKENS = 600_000
+BLOCK_TOKENS = 700_000
+LOOKUP_TOKENS = 400_000
 END, START = 0, (1 << 63) - 1
 #: Most frequent words that a shard reports as candidates for hot contexts.
 REPORTED = 256
@@ -56,7 +56,7 @@ class _Words(dict):
     """63-bit hashes of words, remembered; END and START are no word's."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = min(max(xxh64_intdigest(word) >> 1, 1), START - 1)
         return h
@@ -79,11 +79,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[li
         yield docs, np.concatenate(parts), np.array(lengths)
 
 
-def _contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(lengths) - lengths] = START
-    return before
+def _numbered(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens in order with START as the last, and the numbers of each token and of the one before it."""
+    known, number = np.unique(tokens, return_inverse=True)
+    before = np.empty_like(number)
+    before[1:] = number[:-1]
+    before[np.cumsum(lengths) - lengths] = len(known)
+    return np.append(known, START), number, before
 
 
 def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -194,7 +196,7 @@ def trained(docs: DataFrame, word_shard_bytes: int = WORD_SHARD_BYTES, pair_shar
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, tokens, _ in _blocks(batches, BLOCK_TOKENS):
             held.append(np.unique(tokens, return_counts=True))
-            if sum(len(h) for h, _ in held) > 2_000_000:
+            if sum(len(h) for h, _ in held) > 1_000_000:
                 keys, n = _summed([np.concatenate([h for h, _ in held])], np.concatenate([c for _, c in held]))
                 held = []
                 yield _packed(keys[0] >> (63 - word_bits), keys, n)
@@ -222,9 +224,8 @@ def trained(docs: DataFrame, word_shard_bytes: int = WORD_SHARD_BYTES, pair_shar
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, w, lengths in _blocks(batches, BLOCK_TOKENS):
-            h = _contexts(w, lengths)
-            known, number = np.unique(np.concatenate([h, w]), return_inverse=True)
-            pair, n = np.unique(number[: len(h)] * np.int64(len(known)) + number[len(h) :], return_counts=True)
+            known, wn, hn = _numbered(w, lengths)
+            pair, n = np.unique(hn * np.int64(len(known)) + wn, return_counts=True)
             keys = [known[pair // len(known)], known[pair % len(known)]]
             yield _packed(pair_shard(*keys, hot, shards), keys, n)
 
@@ -262,13 +263,10 @@ def trained(docs: DataFrame, word_shard_bytes: int = WORD_SHARD_BYTES, pair_shar
 
 def score_block(model: Model, w: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n_known, base score and score of each document of a block of tokens."""
-    h = _contexts(w, lengths)
-    known, number = np.unique(np.concatenate([h, w]), return_inverse=True)
+    known, wn, hn = _numbered(w, lengths)
     c = model.counts(known)
     base = (c + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1))
-    if len(known) and known[-1] == START:  # a start stands before every text, and so before every end
-        c[-1] = c[0] if known[0] == END else model.counts(np.zeros(1, np.int64))[0]
-    hn, wn = number[: len(h)], number[len(h) :]
+    c[-1] = c[0]  # there is a start for every end, and END is the first in order
     pair, back = np.unique(hn * np.int64(len(known)) + wn, return_inverse=True)
     ph, pw = pair // len(known), pair % len(known)
     part, successors = model.bigrams(known[ph], known[pw])
