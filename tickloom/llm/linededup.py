@@ -9,6 +9,10 @@ the digests of its lines.  A line goes if some window that covers it starts earl
 elsewhere: in a smaller doc_id, or further up in the same document.  Longer matches
 are unions of such windows, so whole later runs are removed and the first stays.
 
+The documents of ``deduplicated`` also lose single lines: a line of ``LINE_WORDS`` words
+or more is a run of its own, whatever stands beside it, and goes if it starts earlier
+elsewhere.  The query ``line_dedup`` follows its SQL, which has runs of lines only.
+
 Fingerprints and windows are grouped by aggregation with map-side combining and
 joined back, which Spark can split for hot keys; no pairs of occurrences are made.
 
@@ -27,6 +31,8 @@ from tickloom.llm.common import join_documents, unpacked, whole_rows
 from tickloom.llm.native import changes, let, piece, upto, window_minima
 
 MIN_RUN = 2
+#: A line of so many words is a run of its own for ``deduplicated``.
+LINE_WORDS = 50
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -57,10 +63,23 @@ def removed_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return later.groupBy("doc_id", "th").agg(F.array_distinct(covered).alias("gone"))
 
 
-def cut(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def removed_long_lines(docs: DataFrame, words: int = LINE_WORDS) -> DataFrame:
+    """(doc_id, th, gone) as removed_lines, for single lines of so many words."""
+    long = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{words - 1}}}[^\x20\x09-\x0D]"
+    lines = F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HAS_WORD)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    each = F.transform(F.filter(lines, lambda s: s["x"].rlike(long)), lambda s: F.struct(s["i"].alias("i"), F.unhex(F.md5(s["x"].cast("binary"))).alias("d")))
+    at = docs.select("doc_id", "th", F.inline(each)).select("doc_id", "th", F.struct("doc_id", "i").alias("at"), "d")
+    first = at.groupBy("d").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
+    later = at.join(first, "d").where(~F.col("at").eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "th").agg(F.collect_set("at.i").alias("gone"))
+
+
+def cut(docs: DataFrame, min_run: int = MIN_RUN, line_words: int | None = None) -> DataFrame:
     """(row, doc_id, kept, n_lines, n_removed) for each row: the whole row, its kept text, its lines with a word and how many of them went."""
     rows = whole_rows(docs)
     gone = removed_lines(rows, min_run)
+    if line_words:
+        gone = gone.unionByName(removed_long_lines(rows, line_words)).groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     d = join_documents(rows, gone, "left").select("row", "doc_id", "text", "gone")
     lines = F.split("text", "\n", -1)
     solid = let(lines, lambda x: F.filter(upto(F.size(x)), lambda i: x[i].rlike(HAS_WORD)))
@@ -73,9 +92,9 @@ def cut(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return d.select("row", "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
-def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """The documents without their repeated runs, all other columns as they were (n_chars, if there, follows the text)."""
-    done = cut(docs, min_run)
+def deduplicated(docs: DataFrame, min_run: int = MIN_RUN, line_words: int = LINE_WORDS) -> DataFrame:
+    """The documents without their repeated runs and long lines, all other columns as they were (n_chars, if there, follows the text)."""
+    done = cut(docs, min_run, line_words)
     went = F.col("n_removed") > 0
     text = F.when(went, F.col("kept")).otherwise(F.col("row")["text"])
     return unpacked(done, docs.columns, text=text, n_chars=F.when(went, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None)
