@@ -5,10 +5,14 @@ Weak kinds (``ident``, ``secret``, ``endpoint``) are common in innocent text, so
 each is reported only where an interval join finds the complementary parts of a
 credential within its scope: ``SCOPE`` code points on either side, same document.
 
-* ``ident``    (login = ..., client_id: ...)  needs an ``assign`` in scope;
-* ``secret``   (a bare mixed 40-character token) needs an ``access`` in scope;
-* ``endpoint`` (a URL)  needs an identifier (``access`` or ``ident``) and a secret
-  part (``assign``, ``hex`` or ``secret``), all in scope.
+* ``ident``    (login = ..., client_id: ...)  needs a secret part in scope;
+* ``secret``   (a bare mixed 40-character token) needs an identifier in scope;
+* ``endpoint`` (a URL)  needs an identifier and a secret part, all in scope.
+
+Identifiers are ``access`` and ``ident``, secret parts are ``assign``, ``hex`` and
+``secret``.  Weak parts confirm one another: all candidates take part in the join
+before those without a partner are dropped.  A bare secret may follow ``=`` or ``:``
+and stand before ``.``.
 
 The join sorts each kind's intervals once and probes by bisection, so a document
 with many parts costs n log n, and no pairs are made.
@@ -47,7 +51,7 @@ _ASSIGN = re.compile(rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENT = re.compile(rf"(?:{_LOGINS})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{{3,}}")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.~%-]*")
 
 
@@ -79,18 +83,18 @@ def scan_text(text: str, scope: int = SCOPE) -> tuple[dict[str, list[tuple[int,
     """The strong spans of a text and the weak spans that linking confirms, by kind."""
     strong = _strong(text)
     weak: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS[3:]}
-    if any(strong.values()):
-        taken = _Parts([s for k in STRONG for s in strong[k]])
-        free = lambda s, e: not taken.near(s + 1, e - 1, 0)
-        access, assign = _Parts(strong["access"]), _Parts(strong["assign"])
-        if strong["assign"]:
-            weak["ident"] = [m.span() for m in _IDENT.finditer(text) if free(*m.span()) and assign.near(*m.span(), scope)]
-        if strong["access"]:
-            weak["secret"] = [m.span() for m in _SECRET.finditer(text) if _mixed(m[0]) and free(*m.span()) and access.near(*m.span(), scope)]
-        who = _Parts(strong["access"] + weak["ident"])
-        what = _Parts(strong["assign"] + strong["hex"] + weak["secret"])
-        if who.spans and what.spans and "://" in text:
-            weak["endpoint"] = [m.span() for m in _ENDPOINT.finditer(text) if who.near(*m.span(), scope) and what.near(*m.span(), scope)]
+    taken = _Parts([s for k in STRONG for s in strong[k]])
+    free = lambda s, e: not taken.near(s + 1, e - 1, 0)
+    ident = [m.span() for m in _IDENT.finditer(text) if free(*m.span())] if ("=" in text or ":" in text) else []
+    if not ident and not strong["access"]:
+        return strong, weak
+    secret = [m.span() for m in _SECRET.finditer(text) if _mixed(m[0]) and free(*m.span())]
+    who, what = _Parts(strong["access"] + ident), _Parts(strong["assign"] + strong["hex"] + secret)
+    weak["ident"] = [x for x in ident if what.near(*x, scope)]
+    weak["secret"] = [x for x in secret if who.near(*x, scope)]
+    # a partner may be any candidate: an identifier and a secret part near a URL are linked with it
+    if what.spans and "://" in text:
+        weak["endpoint"] = [m.span() for m in _ENDPOINT.finditer(text) if who.near(*m.span(), scope) and what.near(*m.span(), scope)]
     return strong, weak
 
 
