@@ -178,7 +178,7 @@ def test_packing_pieces(spark):
     assert packing.packed(frame(spark, [])).count() == 0
 
 
-def test_toxicity_held_out(spark):
+def toxic_data():
     r, words = np.random.default_rng(5), vocabulary(300)
     slurs = ["vilewort", "scumble", "grubbish"]
     data, labels = [], []
@@ -186,16 +186,78 @@ def test_toxicity_held_out(spark):
         w = [words[k] for k in r.integers(0, len(words), 120)]
         bad = i % 6 == 0
         if bad:
-            for k in r.integers(0, 120, 3):
-                w[k] = slurs[k % 3].upper()
+            for k in r.integers(0, 119, 3):
+                w[k : k + 2] = [slurs[k % 3].upper(), "indeed"] if k % 2 else [slurs[k % 3], w[k + 1]]
         data.append((i, " ".join(w)))
         labels.append((i, 1 if bad else 0, i % 2))
-    lab = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, 0), (3, None, 0)], "doc_id long, toxic int, quality int")
-    docs = frame(spark, [*data, (10_000, None), (10_001, "")])
-    got = {x.doc_id: x for x in toxicity.scored(docs, lab).collect()}
+    return data, labels
+
+
+def test_toxicity_held_out(spark):
+    data, labels = toxic_data()
+    lab = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, 0), (3, None, 0), (7, 2, 0)], "doc_id long, toxic int, quality int")
+    more = [(10_000, None), (10_001, ""), (None, data[0][1]), (None, None), data[1], data[1], (10_002, "vilewort " * 30_000), (10_003, " 12 ... ")]
+    docs = frame(spark, [*data, *more])
+    rows_ = toxicity.scored(docs, lab).collect()
+    assert len(rows_) == len(data) + len(more)
+    got = {x.doc_id: x for x in rows_}
     assert all(got[i].predicted == t for i, t, _ in labels if got[i].held_out)
-    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
-    assert got[10_000].predicted == got[10_001].predicted == 0 and got[10_000].score == got[10_001].score
+    assert all(got[i].held_out == (zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0) for i in got)
+    assert got[10_000].predicted == got[10_001].predicted == 0 and got[10_000].score == got[10_001].score == got[10_003].score
+    assert got[10_002].predicted == 1 and len({x.score for x in rows_ if x.doc_id == 1}) == 1
+    assert {x.score for x in rows_ if x.doc_id is None} == {got[0].score, got[10_000].score}
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in rows_)
     flipped = lab.withColumn("toxic", __import__("pyspark.sql.functions", fromlist=["when"]).expr("case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - toxic else toxic end"))
     assert {x.doc_id: x.score for x in toxicity.scored(docs, flipped).collect()} == {i: x.score for i, x in got.items()}
-    assert {x.score for x in toxicity.scored(docs, lab.limit(0)).collect()} == {0.0}
+    assert {x.score for x in toxicity.scored(docs, lab.limit(0)).collect()} == {0.0} == {x.score for x in toxicity.scored(docs, lab.where("toxic = 0")).collect()}
+    assert toxicity.scored(frame(spark, []), lab).count() == 0
+
+
+def test_toxicity_models_against_brute_force(spark):
+    import re
+
+    data, labels = toxic_data()
+    kind = {i: t for i, t, _ in labels}
+    texts = [(t.lower() + " x9y " * (i % 3), kind[i]) for i, t in data if i % 4 in (0, 2, 3)]
+    model = toxicity.Model(*toxicity.expressions(toxicity.bigrams(spark.createDataFrame([*texts, texts[0], (None, 1), ("", 0)], "text string, toxic int"))))
+    split = lambda t: re.findall(r"[^\W\d_]+", t)
+    c = [Counter(), Counter()]
+    for t, k in set(texts):
+        w = split(t)
+        c[k].update(set(zip(["^", *w], w)))
+    both = c[0] + c[1]
+    n = Counter(w for _, w in both)
+    ones, twos = (sum(x == k for x in n.values()) for k in (1, 2))
+    d, whole, size = (ones / (ones + 2 * twos) if ones else 0.0), sum(n.values()), len(n)
+    shared = lambda w: max(n[w] - d, 0) / whole + d * size / whole / (size + 1)
+    keep = lambda x, e: max(0.0, x - (toxicity.SHARE * e + toxicity.DEVIATIONS * math.sqrt(e + 1)))
+    share = [sum(x.values()) / sum(both.values()) for x in c]
+    seen = [Counter(), Counter()]
+    for (_, w), x in both.items():
+        for k in (0, 1):
+            seen[k][w] += 1 - (1 - share[k]) ** x
+    nk = [Counter(w for _, w in x) for x in c]
+    own = [{w: keep(nk[k][w], seen[k][w]) for w in n} for k in (0, 1)]
+    uni = lambda k, w: own[k].get(w, 0) / sum(nk[k].values()) + (1 - sum(own[k].values()) / sum(nk[k].values())) * shared(w)
+    ctx, total = [Counter(), Counter()], Counter()
+    for k in (0, 1):
+        for (h, _), x in c[k].items():
+            ctx[k][h] += x
+            total[h] += x
+
+    def p(k, h, w):
+        if not ctx[k][h]:
+            return uni(k, w)
+        e = {x: keep(c[k][h, x], ctx[k][h] * both[h, x] / total[h]) for x in n if c[k][h, x]}
+        return e.get(w, 0) / ctx[k][h] + (1 - sum(e.values()) / ctx[k][h]) * uni(k, w)
+
+    assert any(own[1].values()) and model.pair
+    for k in (0, 1):
+        assert sum(shared(w) for w in [*n, "unknown"]) == pytest.approx(1) == pytest.approx(sum(uni(k, w) for w in [*n, "unknown"]))
+        for h in ("^", "vilewort", "no such"):
+            assert sum(p(k, h, w) for w in [*n, "unknown"]) == pytest.approx(1)
+    neutral = math.log((1 - sum(own[1].values()) / sum(nk[1].values())) / (1 - sum(own[0].values()) / sum(nk[0].values())))
+    for i, t in [*data[:40], (0, "vilewort indeed never vilewort")]:
+        w = split(t.lower())
+        want = sum(math.log(p(1, h, x) / p(0, h, x)) for h, x in zip(["^", *w], w)) / len(w) - neutral
+        assert model.ratio(t) == pytest.approx(want, abs=1e-9)

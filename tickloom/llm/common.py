@@ -36,19 +36,39 @@ def bucket5(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def least_by_crc(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows with the smallest (crc32 of doc_id, doc_id).
+
+    A histogram of the crc's leading 16 bits bounds them first, so that only about n rows are sorted.
+    """
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    lead = F.shiftright(crc, 16)
+    seen, bound = 0, -1
+    for r in rows.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).orderBy("lead").collect():  # 65,536 rows at most
+        if seen >= n:
+            break
+        seen, bound = seen + r["n"], r["lead"]
+    return rows.where(lead <= bound).orderBy(crc, "doc_id").limit(n)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of jobs that are over and written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text, th): each row packed into one column, so that no name of the table can clash, and what identifies it.
 
     ``th`` is the hash of the text, null counting as empty; rows of one doc_id and text are treated alike.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns))
     return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
