@@ -4,7 +4,8 @@ Each round links every node's larger neighbours to its smallest neighbour, then
 smaller neighbours and itself to the smallest.  Every step is one shuffle and an
 aggregation with map-side combining; edges are written to the shared folder between
 rounds, so lineage stays short.  A hub's neighbours are never collected: only
-minima are aggregated and edges are dealt out by a join that Spark may split.
+minima are aggregated, and edges are dealt out by a join whose large partitions Spark
+splits, as neither side's exchange is shared with an aggregation.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from tickloom.cluster import written
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v <= u")
-    least = near.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+    # written out, so that the join has an exchange of its own on either side and a hub's neighbours can be split
+    least = written(near.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m")), f"{name}-least")
     moved = near.join(least, "u").where(F.col("v") > F.col("u") if large else F.lit(True)).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
@@ -39,5 +41,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-        now = written(_star(_star(now, True), False), name)
+        now = written(_star(_star(now, True, name), False, name), name)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
