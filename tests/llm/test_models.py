@@ -188,6 +188,7 @@ def toxic_data():
         if bad:
             for k in r.integers(0, 119, 3):
                 w[k : k + 2] = [slurs[k % 3].upper(), "indeed"] if k % 2 else [slurs[k % 3], w[k + 1]]
+            w[3:5] = words[5:7]  # a pair of usual words
         data.append((i, " ".join(w)))
         labels.append((i, 1 if bad else 0, i % 2))
     return data, labels
@@ -207,6 +208,9 @@ def test_toxicity_held_out(spark):
     assert got[10_002].predicted == 1 and len({x.score for x in rows_ if x.doc_id == 1}) == 1
     assert {x.score for x in rows_ if x.doc_id is None} == {got[0].score, got[10_000].score}
     assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in rows_)
+    # as many labels of either class as there are
+    even = lab.where("toxic = 1 or doc_id % 6 = 1")
+    assert all(x.predicted == dict((i, t) for i, t, _ in labels)[x.doc_id] for x in toxicity.scored(docs, even).collect() if x.doc_id is not None and x.doc_id < 900 and x.held_out)
     flipped = lab.withColumn("toxic", __import__("pyspark.sql.functions", fromlist=["when"]).expr("case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - toxic else toxic end"))
     assert {x.doc_id: x.score for x in toxicity.scored(docs, flipped).collect()} == {i: x.score for i, x in got.items()}
     assert {x.score for x in toxicity.scored(docs, lab.limit(0)).collect()} == {0.0} == {x.score for x in toxicity.scored(docs, lab.where("toxic = 0")).collect()}
@@ -230,14 +234,15 @@ def test_toxicity_models_against_brute_force(spark):
     ones, twos = (sum(x == k for x in n.values()) for k in (1, 2))
     d, whole, size = (ones / (ones + 2 * twos) if ones else 0.0), sum(n.values()), len(n)
     shared = lambda w: max(n[w] - d, 0) / whole + d * size / whole / (size + 1)
-    keep = lambda x, e: max(0.0, x - (toxicity.SHARE * e + toxicity.DEVIATIONS * math.sqrt(e + 1)))
+    keep = lambda x, e, o, d=3: max(0.0, x - max(e + d * math.sqrt(e + 1), 4 * o))
     share = [sum(x.values()) / sum(both.values()) for x in c]
-    seen = [Counter(), Counter()]
-    for (_, w), x in both.items():
+    seen, other = [Counter(), Counter()], [Counter(), Counter()]
+    for p, x in both.items():
         for k in (0, 1):
-            seen[k][w] += 1 - (1 - share[k]) ** x
+            seen[k][p[1]] += 1 - (1 - share[k]) ** x
+            other[k][p[1]] += 1 - math.exp(-c[1 - k][p] * share[k] / share[1 - k])
     nk = [Counter(w for _, w in x) for x in c]
-    own = [{w: keep(nk[k][w], seen[k][w]) for w in n} for k in (0, 1)]
+    own = [{w: keep(nk[k][w], seen[k][w], other[k][w]) for w in n} for k in (0, 1)]
     uni = lambda k, w: own[k].get(w, 0) / sum(nk[k].values()) + (1 - sum(own[k].values()) / sum(nk[k].values())) * shared(w)
     ctx, total = [Counter(), Counter()], Counter()
     for k in (0, 1):
@@ -248,7 +253,7 @@ def test_toxicity_models_against_brute_force(spark):
     def p(k, h, w):
         if not ctx[k][h]:
             return uni(k, w)
-        e = {x: keep(c[k][h, x], ctx[k][h] * both[h, x] / total[h]) for x in n if c[k][h, x]}
+        e = {x: keep(c[k][h, x], ctx[k][h] * both[h, x] / total[h], ctx[k][h] * c[1 - k][h, x] / ctx[1 - k][h] if ctx[1 - k][h] else 0, 6) for x in n if c[k][h, x]}
         return e.get(w, 0) / ctx[k][h] + (1 - sum(e.values()) / ctx[k][h]) * uni(k, w)
 
     assert any(own[1].values()) and model.pair

@@ -12,14 +12,15 @@ in either class, n_k(w) the same in one class, N and N_k their sums and V the nu
 words.  c_k(h w) is the number of texts of the class with the bigram, c_k(h) its sum
 over w.  What a class keeps as its own is its count less an absolute discount,
 
-    e_k(x) = max(n_k(x) - D_k(x), 0),   D_k(x) = SHARE E + DEVIATIONS sqrt(E + 1),
+    e_k(x) = max(n_k(x) - D_k(x), 0),   D_k(x) = max(E + DEVIATIONS sqrt(E + 1), SHARE O),
 
-where E is the count that the backoff shared by the classes leads one to expect: of a
-bigram c_k(h) c(h w) / c(h), of a word the number of its contexts that a class with its
-share of all bigrams would meet.  All the rest is the shared model's, so rare expressions
-and those as usual in either class get the same probability from both up to a constant
-factor, and the models differ in what one class says far more often.  Each level sums
-to 1 over all words and one unknown.
+where E is the count that the backoff shared by the classes leads one to expect, and O
+the one that the other class alone does: of a bigram c_k(h) c(h w) / c(h), of a word the
+number of its contexts that a class with its share s_k of all bigrams would meet, the
+sums of 1 - (1 - s_k) ** c(h w) and of 1 - exp(-c_j(h w) s_k / s_j) over h.  All the rest
+is the shared model's, so rare expressions and those as usual in either class get the
+same probability from both up to a constant factor, and the models differ in what one
+class says far more often.  Each level sums to 1 over all words and one unknown.
 
 A score is the ratio through a logistic curve whose middle is calibrated on the labels.
 Labels are read only for documents whose crc32(doc_id) mod 5 is not 0.  Of these, at
@@ -53,7 +54,9 @@ from tickloom.llm.common import bucket5, id_text, least_by_crc, map_arrow
 #: Bound on the labelled rows of each class that the models are fitted on.
 FIT_ROWS = 4000
 CLASSES = ("ordinary", "toxic")
-SHARE, DEVIATIONS = 2.0, 2.5
+SHARE = 4.0
+#: For words and for bigrams, of which there are far more that differ by chance.
+DEVIATIONS = (3.0, 6.0)
 START = "\n"
 WORD = r"\p{L}+"
 #: Logistic units between a word that says nothing and the calibrated middle.
@@ -78,9 +81,9 @@ def bigrams(rows: DataFrame) -> DataFrame:
     return counted.select(F.substring_index("pair", " ", 1).alias("h"), F.substring_index("pair", " ", -1).alias("w"), *CLASSES)
 
 
-def excess(count: Column, expected: Column) -> Column:
+def excess(count: Column, expected: Column, other: Column, deviations: float) -> Column:
     """What a class keeps of a count as its own: the part beyond the discount."""
-    return F.greatest(F.lit(0.0), count - (SHARE * expected + DEVIATIONS * F.sqrt(expected + 1)))
+    return F.greatest(F.lit(0.0), count - F.greatest(expected + deviations * F.sqrt(expected + 1), SHARE * other))
 
 
 def expressions(pairs: DataFrame) -> tuple[dict, list[tuple], list[tuple]]:
@@ -88,17 +91,22 @@ def expressions(pairs: DataFrame) -> tuple[dict, list[tuple], list[tuple]]:
     pairs = written(pairs, "toxicity-bigrams")
     size = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES)).first()
     whole = max(1, size[0] + size[1])
-    seen = [F.sum(1 - F.pow(F.lit(1 - size[k] / whole), F.col("ordinary") + F.col("toxic"))) for k in (0, 1)]
-    counts = pairs.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col(c) > 0).alias(f"n{k}") for k, c in enumerate(CLASSES)), *(x.alias(f"x{k}") for k, x in enumerate(seen)))
-    words = written(counts.select("w", "n", "n0", "n1", *(excess(F.col(f"n{k}"), F.col(f"x{k}")).alias(f"e{k}") for k in (0, 1))), "toxicity-words")
+    sums = []
+    for k, c in enumerate(CLASSES):
+        met = 1 - F.pow(F.lit(1 - size[k] / whole), F.col("ordinary") + F.col("toxic"))
+        by_other = 1 - F.exp(-F.col(CLASSES[1 - k]) * (size[k] / max(1, size[1 - k])))
+        sums += [F.count_if(F.col(c) > 0).alias(f"n{k}"), F.sum(met).alias(f"x{k}"), F.sum(by_other).alias(f"o{k}")]
+    counts = pairs.groupBy("w").agg(F.count("*").alias("n"), *sums)
+    words = written(counts.select("w", "n", "n0", "n1", *(excess(F.col(f"n{k}"), F.col(f"x{k}"), F.col(f"o{k}"), DEVIATIONS[0]).alias(f"e{k}") for k in (0, 1))), "toxicity-words")
     t = words.agg(F.sum("n0"), F.sum("n1"), F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     if not t[3]:
         return {}, [], []
     totals = {"ordinary": t[0], "toxic": t[1], "contexts": t[2], "words": t[3], "discount": t[4] / (t[4] + 2 * t[5]) if t[4] else 0.0}
     contexts = written(pairs.groupBy("h").agg(*(F.sum(c).alias(f"c{k}") for k, c in enumerate(CLASSES))), "toxicity-contexts")
-    often = pairs.where(F.greatest(*CLASSES) > DEVIATIONS).join(contexts, "h")  # no other has an excess
+    often = pairs.where(F.greatest(*CLASSES) > DEVIATIONS[1]).join(contexts, "h")  # no other has an excess
     share = (F.col("ordinary") + F.col("toxic")) / (F.col("c0") + F.col("c1"))
-    own = often.select("h", "w", *(excess(F.col(c), F.col(f"c{k}") * share).alias(f"e{k}") for k, c in enumerate(CLASSES)), "c0", "c1").where("e0 > 0 or e1 > 0")
+    other = [F.coalesce(F.try_divide(F.col(CLASSES[1 - k]) * F.col(f"c{k}"), F.col(f"c{1 - k}")), F.lit(0.0)) for k in (0, 1)]
+    own = often.select("h", "w", *(excess(F.col(c), F.col(f"c{k}") * share, other[k], DEVIATIONS[1]).alias(f"e{k}") for k, c in enumerate(CLASSES)), "c0", "c1").where("e0 > 0 or e1 > 0")
     found = own.join(words.select("w", "n"), "w").select("h", "w", "n", "e0", "e1", "c0", "c1")
     return totals, [tuple(r) for r in words.where("e0 > 0 or e1 > 0").select("w", "n", "e0", "e1").collect()], [tuple(r) for r in found.collect()]
 
