@@ -178,7 +178,7 @@ def test_packing_pieces(spark):
     assert packing.packed(frame(spark, [])).count() == 0
 
 
-def toxic_data():
+def toxic_data(pair=False):
     r, words = np.random.default_rng(5), vocabulary(300)
     slurs = ["vilewort", "scumble", "grubbish"]
     data, labels = [], []
@@ -188,7 +188,8 @@ def toxic_data():
         if bad:
             for k in r.integers(0, 119, 3):
                 w[k : k + 2] = [slurs[k % 3].upper(), "indeed"] if k % 2 else [slurs[k % 3], w[k + 1]]
-            w[3:5] = words[5:7]  # a pair of usual words
+            if pair:  # of usual words
+                w[3:5] = words[5:7]
         data.append((i, " ".join(w)))
         labels.append((i, 1 if bad else 0, i % 2))
     return data, labels
@@ -220,7 +221,7 @@ def test_toxicity_held_out(spark):
 def test_toxicity_models_against_brute_force(spark):
     import re
 
-    data, labels = toxic_data()
+    data, labels = toxic_data(pair=True)
     kind = {i: t for i, t, _ in labels}
     texts = [(t.lower() + " x9y " * (i % 3), kind[i]) for i, t in data if i % 4 in (0, 2, 3)]
     model = toxicity.Model(*toxicity.expressions(toxicity.bigrams(spark.createDataFrame([*texts, texts[0], (None, 1), ("", 0)], "text string, toxic int"))))
