@@ -152,8 +152,7 @@ def test_packing_pieces(spark):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.tokenizer_path())
-    model.encode_special_tokens = True
-    data = rows() + [(900, "word " * 9000), (901, "<|endoftext|>  \n\n x")]
+    data = rows() + [(900, "word " * 9000), (901, "<|endoftext|>  \n\n x"), (902, "a  <|endoftext|> b<|endoftext|>"), (903, "a \U0001f600 \u0301x  y's 12 3.4,\u3000z \x85 q \u00a0r"), (904, " lead \n end ")]
     got = packing.packed(frame(spark, data), with_ids=True).collect()
     want = Counter()
     for i, t in data:
@@ -195,6 +194,13 @@ def toxic_data(pair=False):
     return data, labels
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab1.,'s \n\t\u3000\u00a0\u0301é\U0001f600<|", max_size=60))
+def test_chunks_tokenise_as_whole_texts(text):
+    model = packing.chunk_tokenizer(packing.tokenizer_path())
+    assert model.ids(text).tolist() == model.model.encode(text, add_special_tokens=False).ids
+
+
 def test_toxicity_held_out(spark):
     data, labels = toxic_data()
     lab = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, 0), (3, None, 0), (7, 2, 0)], "doc_id long, toxic int, quality int")
