@@ -123,6 +123,28 @@ def test_warc_reader_steps_over_damage(tmp_path):
         assert seen == ["<urn:page:1>", "<urn:page:2>", "<urn:page:4>"]
 
 
+def test_warc_on_a_store_that_is_no_local_path(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    def stand_in(path):
+        scheme, _, rest = path.partition("://")
+        assert scheme == "store", path
+        return pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem()), rest
+
+    monkeypatch.setattr(warc, "filesystem", stand_in)
+    texts = [b"a" * 10, b"long " * 700_000, b"z"]
+    import hashlib
+
+    rows_ = pa.RecordBatch.from_pylist([{"page_id": i, "url": "u", "payload": t, "digest": hashlib.sha1(t).hexdigest(), "n_bytes": len(t), "refers_to": None} for i, t in enumerate(texts)])
+    (manifest,) = warc.written_files(iter([rows_]), "store://bucket/warc", 1)
+    paths = manifest.column(0).to_pylist()
+    assert len(paths) == 3 and all(p.startswith("store://bucket/warc/") for p in paths)
+    ranges = pa.RecordBatch.from_pylist([{"path": p, "start": 0, "end": n} for p, n in zip(paths, manifest.column(1).to_pylist())])
+    got = [r for b in warc.records(iter([ranges])) for r in b.to_pylist()]
+    assert [(r["payload_bytes"], r["digest_ok"]) for r in got] == [(len(t), True) for t in texts]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_packing_plan(histogram):

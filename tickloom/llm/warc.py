@@ -84,51 +84,55 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, n_
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def written_files(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int = FILE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Write the rows of a task to files of its own in the folder (a URI or a local path); yields their manifest."""
+    fs, root = filesystem(folder)
+    out, name, size, n = None, "", 0, 0
+    done: list[tuple[str, int, int]] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if out is None:
+                fs.create_dir(root, recursive=True)
+                name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)
+            packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            member = packer.compress(record(*row)) + packer.flush()
+            out.write(member)
+            size, n = size + len(member), n + 1
+            if size >= file_bytes:
+                out.close()
+                done.append((f"{folder.rstrip('/')}/{name}", size, n))
+                out = None
+    if out is not None:
+        out.close()
+        done.append((f"{folder.rstrip('/')}/{name}", size, n))
+    yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["path", "n_bytes", "n_records"])
+
+
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write the rows of :func:`with_revisits`; returns the manifest (path, n_bytes, n_records)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(folder)
-        out, path, size, n = None, "", 0, 0
-        done: list[tuple[str, int, int]] = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    path, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(path, compression=None)
-                packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                member = packer.compress(record(*row)) + packer.flush()
-                out.write(member)
-                size, n = size + len(member), n + 1
-                if size >= file_bytes:
-                    out.close()
-                    done.append((path, size, n))
-                    out = None
-        if out is not None:
-            out.close()
-            done.append((path, size, n))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["path", "n_bytes", "n_records"])
-
-    return map_arrow(pages, run, "path string, n_bytes long, n_records long")
+    """Write the rows of :func:`with_revisits`; returns the manifest (path, n_bytes, n_records), paths with their scheme."""
+    return map_arrow(pages, lambda batches: written_files(batches, folder, file_bytes), "path string, n_bytes long, n_records long")
 
 
 class _Source:
     """A file read forward from a position; ``buf[pos:]`` is what has not been used yet."""
 
     def __init__(self, file: pa.NativeFile, start: int):
-        self.file, self.at, self.buf, self.pos, self.over = file, start, b"", 0, False
+        self.file, self.at, self.buf, self.pos, self.over = file, start, bytearray(), 0, False
         file.seek(start)
 
     def more(self) -> bool:
         got = b"" if self.over else self.file.read(READ_BYTES)
         self.over = not got
-        if got:
-            self.buf, self.pos = self.buf[self.pos :] + got, 0
+        self.buf += got
         return bool(got)
 
     def skip(self, n: int) -> None:
+        """Go on by n bytes; what was used is dropped a few reads at a time, so that a byte is moved once at most."""
         self.pos, self.at = self.pos + n, self.at + n
+        if self.pos >= 4 * READ_BYTES or self.pos > len(self.buf) // 2:
+            del self.buf[: self.pos]
+            self.pos = 0
 
 
 def _member(source: _Source) -> tuple[dict[str, str], bytes, int] | None:
@@ -195,32 +199,33 @@ def splits(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES
 RECORD_SCHEMA = "path string, offset long, record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, digest_ok boolean"
 
 
+def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of byte ranges (path, start, end), as RECORD_SCHEMA."""
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("digest_ok", pa.bool_())])
+    for b in batches:
+        for path, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            fs, local = filesystem(path)
+            rows = []
+            with fs.open_input_file(local) as f:
+                for offset, fields, block in records_in(f, start, end):
+                    kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                    payload = block.partition(b"\r\n\r\n")[2]
+                    digest, n = (hashlib.sha1(payload).hexdigest(), len(payload)) if kind == "response" else (stated, int(fields.get("x-payload-length", -1)))
+                    rows.append((path, offset, kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), n, digest, fields.get("warc-refers-to"), digest == stated if kind == "response" else None))
+                    if len(rows) == 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def read(ranges: DataFrame) -> DataFrame:
     """One row for each record of the byte ranges, with the digest of what was read.
 
     ``digest_ok`` is false for a response whose payload does not have the digest
     that its header states; for a revisit, which has no payload, it is null.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("digest_ok", pa.bool_())])
-        for b in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                fs, local = filesystem(path)
-                rows = []
-                with fs.open_input_file(local) as f:
-                    for offset, fields, block in records_in(f, start, end):
-                        kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        digest, n = (hashlib.sha1(payload).hexdigest(), len(payload)) if kind == "response" else (stated, int(fields.get("x-payload-length", -1)))
-                        rows.append((path, offset, kind, fields.get("warc-record-id"), fields.get("warc-target-uri"), n, digest, fields.get("warc-refers-to"), digest == stated if kind == "response" else None))
-                        if len(rows) == 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    return map_arrow(ranges, run, RECORD_SCHEMA)
+    return map_arrow(ranges, records, RECORD_SCHEMA)
 
 
 def page_number(col: str):
