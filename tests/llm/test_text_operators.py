@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tests.llm.cases import by_row, frame, rows, vocabulary
-from tickloom.llm import decontaminate, linededup, quality, secrets, simhash, substrings
+from tickloom.llm import decontaminate, linededup, nearcopies, quality, secrets, simhash, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -144,6 +145,22 @@ def test_simhash(spark, shard_rows):
     assert one.columns == frame(spark).columns and one.count() == len({r for r in root})
 
 
+def test_simhash_keeps_one_of_each_component_with_null_ids(spark):
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    data = [(None, say(0)), (None, say(1)), (None, say(1)), (None, say(2)), (4, say(2)), (7, say(2)), (None, say(3)), (None, None)]
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(frame(spark, data)).collect()), key=str)
+    assert got == sorted([(None, say(0)), (None, say(1)), (4, say(2)), (None, say(3)), (None, None)], key=str)
+
+
+def test_odd_column_names(spark):
+    docs = frame(spark).withColumn("we`ird", F.lit(1)).withColumn("a.b", F.lit(2))
+    for out in (linededup.deduplicated(docs), simhash.deduplicated(docs), nearcopies.deduplicated(docs)):
+        assert out.columns == docs.columns and out.count() > 0
+    assert substrings.deduplicated(docs).count() == docs.count()
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.clean(docs, bench).columns == docs.columns
+
+
 def test_secrets(spark):
     assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     texts = [

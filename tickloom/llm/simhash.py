@@ -22,7 +22,8 @@ Nulls and edges: a null text is an empty one; texts without words have fingerpri
 zero and link like any other.  Texts with fewer words than a shingle are hashed
 whole.  Rows with a null doc_id get a fingerprint and a component like others, but
 are never the name of a component unless all its rows are null.  Repeated rows and
-ties fall into one component.  Empty tables give no rows.
+ties fall into one component.  Very long texts are hashed whole, a part at a time.
+Empty tables give no rows.  Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -206,14 +207,15 @@ def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, th, fp, component_id) for every document."""
+    """(doc_id, th, fp, root, component_id) for every document; root is the fingerprint that names the component."""
     fp = written(fingerprints(docs, shingle), "simhash")
     each = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     comp = components(links(each.select("fp"), radius, shard_rows), "simhash-links")
-    named = each.join(comp, each.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "root").select("fp", "component_id")
-    return fp.join(final, "fp").select("doc_id", "th", "fp", "component_id")
+    # aggregates are written before they are joined on their own key, so that Spark can split hot keys
+    named = written(each.join(comp, each.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-named")
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    final = written(named.join(least, "root").select("fp", "root", "component_id"), "simhash-final")
+    return fp.join(final, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,8 +224,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with all its columns."""
-    one = grouped(docs).groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("one.doc_id", "one.th")
+    """One document of each group, that with the smallest doc_id (null only where all are), with all its columns."""
+    first = F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
+    one = grouped(docs).groupBy("root").agg(first.alias("one")).select("one.doc_id", "one.th")
     rows = whole_rows(docs)
     stay = join_documents(rows, one).select("row", "doc_id", "th")
     return unpacked(stay.dropDuplicates(["doc_id", "th"]), docs.columns)
