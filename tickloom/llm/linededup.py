@@ -13,13 +13,15 @@ The documents of ``deduplicated`` also lose single lines: a line of ``LINE_WORDS
 or more is a run of its own, whatever stands beside it, and goes if it starts earlier
 elsewhere.  The query ``line_dedup`` follows its SQL, which has runs of lines only.
 
-Fingerprints and windows are grouped by aggregation with map-side combining and
-joined back, which Spark can split for hot keys; no pairs of occurrences are made.
+Fingerprints and windows are grouped by aggregation with map-side combining, written
+out and joined back: as the join does not share its exchange with the aggregation, Spark
+splits the partitions of hot keys.  No pairs of occurrences are made.
 
 Nulls and edges: a null text is an empty one.  A null doc_id counts as smaller than
 any other.  Rows of one doc_id are one document and never repeat each other at the
-same position.  Documents with fewer than ``MIN_RUN`` lines are left alone.  Empty
-tables give no rows.  Columns other than doc_id and text are not read.
+same position.  Documents with fewer than ``MIN_RUN`` lines are left alone.  Texts are
+read whole, however long; of equal runs the earliest is the first, and rows that tie with
+it stay.  Empty tables give no rows.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.cluster import written
 from tickloom.llm.common import join_documents, unpacked, whole_rows
 from tickloom.llm.native import changes, let, piece, upto, window_minima
 
@@ -54,10 +57,12 @@ def removed_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     runs = _runs(docs, min_run)
     # a line may also be selected at two places of one run
     often = runs.select("fp", F.size(let(F.struct("fp", "around"), lambda s: F.filter(s["around"]["h"], lambda h: h == s["fp"]))).alias("n")).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
+    often = written(often, "line-fingerprints")
     spread = let(F.col("around.d"), lambda x: F.transform(upto(F.size(x) - (min_run - 1)), lambda i: F.array_join(F.transform(piece(x, i, F.lit(min_run)), lambda y: F.hex(y)), "")))
     wins = runs.join(often, "fp").select("doc_id", "th", "start", F.posexplode(spread).alias("k", "win"))
     wins = wins.select("doc_id", "th", F.struct("doc_id", (F.col("start") + F.col("k")).alias("i")).alias("at"), F.unhex("win").alias("win"))
-    first = wins.groupBy("win").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("win", "first")
+    wins = written(wins, "line-windows")
+    first = written(wins.groupBy("win").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("win", "first"), "line-firsts")
     later = wins.join(first, "win").where(~F.col("at").eqNullSafe(F.col("first")))
     covered = F.flatten(F.transform(F.collect_set("at.i"), lambda i: F.sequence(i, i + (min_run - 1))))
     return later.groupBy("doc_id", "th").agg(F.array_distinct(covered).alias("gone"))
@@ -69,7 +74,7 @@ def removed_long_lines(docs: DataFrame, words: int = LINE_WORDS) -> DataFrame:
     lines = F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HAS_WORD)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     each = F.transform(F.filter(lines, lambda s: s["x"].rlike(long)), lambda s: F.struct(s["i"].alias("i"), F.unhex(F.md5(s["x"].cast("binary"))).alias("d")))
     at = docs.select("doc_id", "th", F.inline(each)).select("doc_id", "th", F.struct("doc_id", "i").alias("at"), "d")
-    first = at.groupBy("d").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
+    first = written(at.groupBy("d").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first"), "long-lines")
     later = at.join(first, "d").where(~F.col("at").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "th").agg(F.collect_set("at.i").alias("gone"))
 
