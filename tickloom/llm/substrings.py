@@ -270,9 +270,11 @@ def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, th, from, to) for documents whose whole text an earlier document has."""
-    each = docs.select("doc_id", "th", F.octet_length("text").alias("size"))
-    first = each.groupBy("th", "size").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("th", "size", "first")
-    later = each.join(first, ["th", "size"]).where(F.struct("doc_id") > F.col("first"))
+    key = ["th", "more", "size"]  # 128 bits of hash and the length
+    each = docs.select("doc_id", "th", F.xxhash64(F.lit(1), "text").alias("more"), F.octet_length("text").alias("size"))
+    # written before it is joined on its own key, so that Spark can split a text with very many copies
+    first = written(each.groupBy(key).agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "first"), "copied-texts")
+    later = each.join(first, key).where(F.struct("doc_id") > F.col("first"))
     return later.select("doc_id", "th", F.lit(0).alias("from"), F.lit(WHOLE).alias("to"))
 
 
