@@ -52,39 +52,81 @@ def test_wavelet_matrix(values, symbol):
         assert w.rank(np.full(len(at), symbol), at).tolist() == [values[:k].count(symbol) for k in at.tolist()]
 
 
-@pytest.mark.parametrize("shard", [1 << 30, 900])
-def test_lm_scores(spark, shard, monkeypatch):
-    monkeypatch.setattr(lm, "HOT_SHARE", 1 / 50)
-    docs = frame(spark).select("doc_id", "text")
-    model = lm.trained(docs.where(lm.bucket5() != 1), shard, shard)
-    words = [(i, (t or "").encode().lower().split()) for i, t in rows()]
-    counts, pairs = Counter(), Counter()
+def lm_scores(data, order, keep):
+    """(doc_id, known, base, score) of each row by counting n-grams as tuples."""
+    words = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in data]
+    grams = [None, *(Counter() for _ in range(order))]
     for i, w in words:
         if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
-            counts.update([*w, b""])
-            pairs.update(zip([b"^", *w], [*w, b""]))
-    total, distinct = sum(counts.values()), len(counts)
-    assert (model.tokens, model.vocabulary) == (total, distinct)
-    context, followers = Counter(), Counter(h for h, _ in pairs)
-    for (h, _), n in pairs.items():
-        context[h] += n
-    p = lambda w: (counts[w] + 0.5) / (total + 0.5 * (distinct + 1))
-    cache = lm._Words()
+            for n in range(1, order + 1):
+                said = [b"^"] * (n - 1) + w
+                grams[n].update(tuple(said[k : k + n]) for k in range(len(w)))
+    total, distinct = sum(grams[1].values()), len(grams[1])
+    contexts = [None, None, *(Counter() for _ in range(order - 1))]
+    stay = [None, None, *({} for _ in range(order - 1))]
+    for n in range(2, order + 1):
+        for g, c in grams[n].items():
+            contexts[n][g[:-1]] += c
+        for g, c in grams[n].items():
+            if c >= keep[n - 1]:
+                stay[n][g[:-1]] = stay[n].get(g[:-1], 0) + (c - 0.75) / contexts[n][g[:-1]]
+    root = lambda w: (grams[1][w,] + 0.5) / (total + 0.5 * (distinct + 1))
+
+    def p(g):
+        if len(g) == 1:
+            return root(g[0])
+        low, c, h = p(g[1:]), grams[len(g)][g], contexts[len(g)][g[:-1]]
+        return (c - 0.75) / h * (c >= keep[len(g) - 1]) + (1 - stay[len(g)].get(g[:-1], 0)) * low if h else low
+
+    out = []
     for i, w in words:
-        known, base, score = lm.score_block(model, np.array([*(cache[x] for x in w), 0], np.int64), np.array([len(w) + 1]))
-        want = 0.0
-        for h, x in zip([b"^", *w], [*w, b""]):
-            want += math.log10((max(pairs[h, x] - 0.75, 0) + 0.75 * followers[h] * p(x)) / context[h] if context[h] else p(x))
-        assert known[0] == sum(counts[x] > 0 for x in [*w, b""])
-        assert base[0] == pytest.approx(sum(math.log10(p(x)) for x in [*w, b""]))
-        assert abs(score[0] - want) <= 0.021 * (len(w) + 1)
+        said = [b"^"] * (order - 1) + w
+        out.append((i, len(w), sum(grams[1][x,] > 0 for x in w), total, sum(math.log10(root(x)) for x in w), sum(math.log10(p(tuple(said[k : k + order]))) for k in range(len(w)))))
+    return out
+
+
+@pytest.mark.parametrize("order,keep,size,hot", [(3, (1, 1, 2), 1 << 30, 50_000), (3, (1, 1, 2), 900, 20), (4, (1, 1, 1, 2), 2000, 3), (2, (1, 1), 700, 50_000)])
+def test_lm_scores(spark, order, keep, size, hot):
+    data = rows() + [(400 + i, t) for i, t in rows(5) if i is not None]
+    got = lm.scored(frame(spark, data), order, keep, size, size, size, hot).collect()
+    want = lm_scores(data, order, keep)
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[4], 3))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+    assert len(got) == len(data)
+    for a, b in zip(got, sorted(want, key=key)):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4])
+        assert abs(a[5] - b[5]) <= 0.0004 * order * a[1]  # steps of the codes
 
 
 def test_lm_query_rows(spark):
-    got = lm.scored(frame(spark)).collect()
-    assert len(got) == len(rows()) and lm.scored(frame(spark, [])).count() == 0
+    assert lm.scored(frame(spark, [])).count() == 0
     only_held = [(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
-    assert all(r.base_score == 0 and r.train_tokens == 0 and r.score == 0 for r in lm.scored(frame(spark, only_held)).collect())
+    assert all(r.base_score == 0 and r.train_tokens == 0 and r.score == 0 and r.held_out for r in lm.scored(frame(spark, only_held)).collect())
+    long = [(2, "a b c d " * 200_000), (3, None), (4, "a b")]
+    assert [r.n_tokens for r in lm.scored(frame(spark, long), block_bytes=1000).orderBy("doc_id").collect()] == [800_001, 1, 3]
+
+
+def test_levels_hold_more_contexts_than_a_half_million(tmp_path):
+    n = (1 << 19) + 1
+    context, word = np.arange(n) * 977 + 5, np.arange(n) % 7 + (1 << 40)
+    width = int(word.max()) + 1
+    path = trie.write_level(str(tmp_path), "x", {"contexts": context, "successors": np.arange(n) * width + word}, {})
+    level = trie.read_level(path)[0]
+    assert (level["contexts"].find(context) == np.arange(n)).all()
+    at = np.arange(0, n, 1000)
+    assert (level["successors"].find(at * width + word[at]) == at).all() and (level["successors"].find(at * width + 3) == -1).all()
+    with pytest.raises(OverflowError):
+        trie.EliasFano.arrays(np.array([1, (1 << 63) + 4], np.uint64))
+
+
+def test_lm_token_blocks():
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    texts = [t for _, t in rows()]
+    words, number, lengths = lm.token_block(pa.array(texts))
+    want = [[*(max(xxh64_intdigest(w) >> 1, 1) for w in (t or "").encode().lower().split()), 0] for t in texts]
+    assert lengths.tolist() == list(map(len, want)) and words[number].tolist() == [x for w in want for x in w] and (np.diff(words) > 0).all()
 
 
 def test_warc_round_trip(spark):

@@ -1,295 +1,431 @@
-"""Language-model scores from an Elias-Fano bigram trie trained on the corpus.
-
-Tokens are lower-cased words and an end; a text's first token follows a start.  The
-model interpolates: P(w | h) = max(c(h w) - D, 0) / c(h) + D n(h) / c(h) P(w), where
-n(h) is the number of different successors of h and P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
-The first summand is stored quantised to 8 bits, n(h) is the distance of two
-pointers and c(h) stands at the root (:mod:`trie`).
-
-Counting.  Each task merges what it reads and sends one packed block to each shard:
-words by hash range, bigrams by their context.  Contexts that make up more than
-``HOT_SHARE`` of all tokens (so there are 1 / HOT_SHARE at most) are dealt out by the
-whole bigram instead, and their n(h) is added up from the shards.  Each shard merges
-its blocks and writes one level file to the shared folder, under a new name for each
-attempt; only files in the manifest are read.  The number of shards follows the
-input, and all counts are of all training documents.
-
-Scoring.  Tasks map the level files into memory, so their pages are shared and can be
-dropped, and look up the distinct words and bigrams of a block of documents at once.
-
-Words are known by 63-bit hashes.  Nulls and edges: a null text is the end alone; a
-null doc_id counts as the empty id text, and is trained on.  Repeated rows count and
-are scored each.  Without training documents P(w) is 1 for every token.  An empty
-table gives no rows.  Texts of any length are cut into blocks for lookups only.
-Columns other than doc_id and text are not read.
+"""Language-model scores from an Elias-Fano n-gram trie trained on the corpus.
+
+Tokens are lower-cased words and an end; a text's first tokens follow starts.  The model
+interpolates orders 1 to ``ORDER`` with an absolute discount:
+
+    P(w | h) = (c(h w) - D) / c(h) + b(h) P(w | h'),   b(h) = 1 - sum of (c(h x) - D) / c(h),
+
+where h' is h without its first word, n-grams seen fewer than ``KEEP`` times at their
+order are left out of the first summand and of the sum over x, and at the root
+P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).  Trigrams seen once are left out: they would
+only repeat the text that they come from.
+
+Texts are cut into blocks of tokens, which are written to the shared folder.  For each
+order a block sends its distinct n-grams with their counts in training documents to the
+shards, words by hash range, longer ones by their context.  A shard adds up the counts,
+writes its level of the trie (:mod:`trie`), maps it into memory and answers every n-gram
+that it was sent from there: the node's number, which is the context's number at the
+next order, its probability and its context's backoff weight.  So each level file is
+searched by one task, work is in proportion to the input, and no task needs to know
+where other levels lie.  Answers go back to their blocks, which add up their documents.
+
+Contexts with more than ``HOT_SHARE`` of all tokens (500,000 at most) and ``HOT_LEAST``
+are dealt to the shards by their words; their counts are known from the order before and
+their backoff weights are added up from the shards.  All counts are of all training
+documents.  Tables of blocks, answers and levels are written before they are read, so a
+repeated task reads what the first one did; files of lost attempts are in no table.
+
+Words are known by 63-bit hashes.  Nulls and edges: a null text is the end alone; a null
+doc_id counts as the empty id text, and is trained on.  Repeated rows count and are
+scored each.  Without training documents P(w) is 1 for every token.  An empty table gives
+no rows.  A block holds whole texts, however long.  Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tickloom.cluster import shared_path, written
-from tickloom.llm.common import bucket5, bytes_list, id_text, map_arrow
+from tickloom.llm.common import bucket5, id_text, map_arrow, release
 from tickloom.llm.substrings import whole_shards
-from tickloom.llm.trie import WORD_BITS, probability, quantised, read_level, write_level
+from tickloom.llm.trie import ABSENT, probability, quantised, read_level, write_level
+from tickloom.llm.warc import filesystem
 
 HELD_OUT = 1
+ORDER = 3
+#: Least count of the n-grams that a level keeps, by order.
+KEEP = (1, 1, 2)
 DISCOUNT = 0.75
-HOT_SHARE = 1 / 5000
+HOT_SHARE, HOT_LEAST = 1 / 500_000, 50_000
 WORD_SHARD_BYTES = 48 << 20
-PAIR_SHARD_BYTES = 12 << 20
-BLOCK_TOKENS = 700_000
-LOOKUP_TOKENS = 400_000
-END, START = 0, (1 << 63) - 1
-#: Most frequent words that a shard reports as candidates for hot contexts.
-REPORTED = 256
-
-
-class _Words(dict):
-    """63-bit hashes of words, remembered; END and START are no word's."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        self[word] = h = min(max(xxh64_intdigest(word) >> 1, 1), START - 1)
-        return h
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc numbers, hashes, lengths) of documents with their ends, about ``tokens`` at a time; rows are (doc, text)."""
-    cache = _Words()
-    docs, parts, lengths, size = [], [], [], 0
-    for b in batches:
-        for k, raw in enumerate(bytes_list(b.column(1))):
-            words = (raw or b"").lower().split()
-            h = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-            docs.append((b, k)), parts.extend((h, np.zeros(1, np.int64))), lengths.append(len(h) + 1)
-            size += len(h) + 1
-            if size >= tokens:
-                yield docs, np.concatenate(parts), np.array(lengths)
-                docs, parts, lengths, size = [], [], [], 0
-    if docs:
-        yield docs, np.concatenate(parts), np.array(lengths)
-
-
-def _numbered(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct tokens in order with START as the last, and the numbers of each token and of the one before it."""
-    known, number = np.unique(tokens, return_inverse=True)
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[np.cumsum(lengths) - lengths] = len(known)
-    return np.append(known, START), number, before
-
-
-def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct keys in order, the last varying fastest, and the sums of their counts."""
-    order = np.lexsort(keys[::-1])
-    keys, counts = [k[order] for k in keys], counts[order]
-    if not len(counts):
-        return keys, counts
-    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
-    return [k[new] for k in keys], np.add.reduceat(counts, np.flatnonzero(new))
-
-
-def _packed(shard: np.ndarray, keys: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-    """One row for each shard with its keys and counts as bytes."""
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    parts = np.split(order, cuts) if len(order) else []
-    blob = [b"".join([*(k[p].tobytes() for k in keys), counts[p].astype(np.int64).tobytes()]) for p in parts]
-    return pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array(blob, pa.large_binary()).cast(pa.binary())], names=["shard", "n", "block"])
-
-
-def _unpacked(b: pa.RecordBatch, keys: int) -> tuple[list[np.ndarray], np.ndarray]:
-    cols: list[list[np.ndarray]] = [[] for _ in range(keys + 1)]
-    for n, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-        for k in range(keys + 1):
-            cols[k].append(np.frombuffer(raw, np.int64, n, k * n * 8))
-    flat = [np.concatenate(c) for c in cols]
-    return _summed(flat[:-1], flat[-1])
-
-
-BLOCK = "shard long, n long, block binary"
-
-
-def _in_shards(blocks: DataFrame, shards: int) -> DataFrame:
-    return blocks.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard")
-
-
-class Model:
-    """Paths of the levels and the totals; small, and sent to every task."""
-
-    def __init__(self, word_bits: int, words: dict[int, str], pairs: dict[int, str], shards: int, tokens: int, vocabulary: int, hot: np.ndarray, hot_successors: np.ndarray):
-        self.word_bits, self.words, self.pairs, self.shards = word_bits, words, pairs, shards
-        self.tokens, self.vocabulary, self.hot, self.hot_successors = tokens, vocabulary, hot, hot_successors
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """c(w) of sorted hashes."""
-        out = np.zeros(len(h), np.int64)
-        shard = h >> (63 - self.word_bits)
-        for a, z in _runs(shard):
-            if path := self.words.get(int(shard[a])):
-                sequences, plain = read_level(path)
-                at = sequences["keys"].find(h[a:z])
-                out[a:z] = np.where(at >= 0, plain["count"][np.maximum(at, 0)], 0)
-        return out
-
-    def bigrams(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The stored part of P(w | h), 0 for unseen bigrams, and n(h)."""
-        part, successors = np.zeros(len(h)), np.zeros(len(h), np.int64)
-        shard = pair_shard(h, w, self.hot, self.shards)
-        order = np.argsort(shard, kind="stable")
-        for a, z in _runs(shard[order]):
-            rows = order[a:z]
-            if not (path := self.pairs.get(int(shard[rows[0]]))):
-                continue
-            sequences, plain = read_level(path)
-            ctx = sequences["keys"].find(h[rows])
-            rows, ctx = rows[ctx >= 0], ctx[ctx >= 0]
-            successors[rows] = sequences["pointers"].get(ctx + 1) - sequences["pointers"].get(ctx)
-            at = sequences["successors"].find(relative(ctx, w[rows]))
-            part[rows] = np.where(at >= 0, probability(plain["code"][np.maximum(at, 0)]), 0)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-            successors = np.where(self.hot[at] == h, self.hot_successors[at], successors)
-        return part, successors
-
-
-def relative(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A successor's key: monotone by context, then by the word's leading bits."""
-    return (context << WORD_BITS) + (word >> (63 - WORD_BITS))
-
-
-def pair_shard(h: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    x = h.astype(np.uint64)
-    if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-        x = np.where(is_hot, x ^ w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), x)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
-
-
-def _runs(x: np.ndarray) -> list[tuple[int, int]]:
-    if not len(x):
-        return []
-    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
-
-
-def trained(docs: DataFrame, word_shard_bytes: int = WORD_SHARD_BYTES, pair_shard_bytes: int = PAIR_SHARD_BYTES) -> Model:
-    """Count all rows of (doc_id, text), write the levels and return the model."""
-    spark = docs.sparkSession
-    folder = shared_path(spark, "trie")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    word_bits = max(0, (-(-total // word_shard_bytes) - 1).bit_length()) if total else 0
-    shards = max(1, -(-total // pair_shard_bytes))
-    rows = docs.select("doc_id", "text")
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, tokens, _ in _blocks(batches, BLOCK_TOKENS):
-            held.append(np.unique(tokens, return_counts=True))
-            if sum(len(h) for h, _ in held) > 1_000_000:
-                keys, n = _summed([np.concatenate([h for h, _ in held])], np.concatenate([c for _, c in held]))
-                held = []
-                yield _packed(keys[0] >> (63 - word_bits), keys, n)
-        if held:
-            keys, n = _summed([np.concatenate([h for h, _ in held])], np.concatenate([c for _, c in held]))
-            yield _packed(keys[0] >> (63 - word_bits), keys, n)
-
-    def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in whole_shards(batches):
-            (h,), n = _unpacked(b, 1)
-            path = write_level(folder, f"words-{uuid.uuid4().hex}", {"keys": h}, {"count": n})
-            top = np.argsort(-n, kind="stable")[:REPORTED]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b.column(0)[0].as_py()], pa.int64()), pa.array([path]), pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([h[top].tolist()], pa.list_(pa.int64())), pa.array([n[top].tolist()], pa.list_(pa.int64()))],
-                names=["shard", "path", "tokens", "vocabulary", "top", "top_n"],
-            )
-
-    blocks = map_arrow(rows, count_words, BLOCK)
-    levels = written(map_arrow(_in_shards(blocks, 1 << word_bits), write_words, "shard long, path string, tokens long, vocabulary long, top array<long>, top_n array<long>"), "trie-words").collect()  # a row for each shard
-    tokens, vocabulary = sum(r["tokens"] for r in levels), sum(r["vocabulary"] for r in levels)
-    frequent = sorted((h, n) for r in levels for h, n in zip(r["top"], r["top_n"], strict=True) if n > HOT_SHARE * tokens and h != END)
-    ends = next((n for r in levels for h, n in zip(r["top"], r["top_n"], strict=True) if h == END), 0)
-    hot = np.array([h for h, _ in frequent] + [START] * (ends > HOT_SHARE * tokens), np.int64)
-    hot_count = np.array([n for _, n in frequent] + [ends] * (ends > HOT_SHARE * tokens), np.int64)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, lengths in _blocks(batches, BLOCK_TOKENS):
-            known, wn, hn = _numbered(w, lengths)
-            pair, n = np.unique(hn * np.int64(len(known)) + wn, return_counts=True)
-            keys = [known[pair // len(known)], known[pair % len(known)]]
-            yield _packed(pair_shard(*keys, hot, shards), keys, n)
-
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in whole_shards(batches):
-            (h, w), n = _unpacked(b, 2)
-            ctx, first, size = np.unique(h, return_index=True, return_counts=True)
-            number = np.repeat(np.arange(len(ctx)), size)
-            whole = np.add.reduceat(n, first) if len(n) else n
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)
-                is_hot = hot[at] == ctx
-                whole = np.where(is_hot, hot_count[at], whole)
-            else:
-                is_hot = np.zeros(len(ctx), bool)
-            key = relative(number, w)
-            one = np.append(True, key[1:] != key[:-1])  # words alike in their leading bits share an entry
-            n = np.add.reduceat(n, np.flatnonzero(one)) if len(n) else n
-            key, number = key[one], number[one]
-            size = np.bincount(number, minlength=len(ctx))
-            code = quantised(np.log10(np.maximum(n - DISCOUNT, 1e-12) / whole[number]))
-            path = write_level(folder, f"pairs-{uuid.uuid4().hex}", {"keys": ctx, "pointers": np.concatenate([[0], np.cumsum(size)]), "successors": key}, {"code": code})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b.column(0)[0].as_py()], pa.int64()), pa.array([path]), pa.array([ctx[is_hot].tolist()], pa.list_(pa.int64())), pa.array([size[is_hot].tolist()], pa.list_(pa.int64()))],
-                names=["shard", "path", "hot", "successors"],
-            )
-
-    blocks = map_arrow(rows, count_pairs, BLOCK)
-    manifest = written(map_arrow(_in_shards(blocks, shards), write_pairs, "shard long, path string, hot array<long>, successors array<long>"), "trie-pairs")
-    each = manifest.select(F.explode(F.arrays_zip("hot", "successors")).alias("x")).groupBy(F.col("x.hot").alias("h")).agg(F.sum("x.successors").alias("n")).collect()  # 1 / HOT_SHARE rows at most
-    successors = {r["h"]: r["n"] for r in each}
-    pairs = {r["shard"]: r["path"] for r in manifest.select("shard", "path").collect()}  # a row for each shard
-    return Model(word_bits, {r["shard"]: r["path"] for r in levels}, pairs, shards, tokens, vocabulary, hot, np.array([successors.get(h, 0) for h in hot.tolist()], np.int64))
-
-
-def score_block(model: Model, w: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n_known, base score and score of each document of a block of tokens."""
-    known, wn, hn = _numbered(w, lengths)
-    c = model.counts(known)
-    base = (c + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1))
-    c[-1] = c[0]  # there is a start for every end, and END is the first in order
-    pair, back = np.unique(hn * np.int64(len(known)) + wn, return_inverse=True)
-    ph, pw = pair // len(known), pair % len(known)
-    part, successors = model.bigrams(known[ph], known[pw])
-    seen = c[ph]
-    weight = np.where(seen > 0, DISCOUNT * successors / np.maximum(seen, 1), 1.0)
-    log_p = np.log10(np.minimum(part + weight * base[pw], 1.0))
-    at = np.cumsum(lengths) - lengths
-    return np.add.reduceat((c[wn] > 0).astype(np.int64), at), np.add.reduceat(np.log10(base)[wn], at), np.add.reduceat(log_p[back], at)
-
-
-def scored(docs: DataFrame) -> DataFrame:
+SHARD_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
+#: Blocks in one task, about.
+TASK_BLOCKS = 4
+END, START = 0, 0  # the end's hash; the number of the context of starts
+
+PLACE = "block long, path string, offset long, size long"
+ASKED = f"shard long, {PLACE}, payload binary"
+ANSWERED = f"{PLACE}, level int, shard long, payload binary, tokens long, vocabulary long, node array<long>, count array<long>, hot array<long>, own array<double>"
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; unsigned integers in as few bytes as they need."""
+    head, body = struct.pack("<H", len(arrays)), []
+    for a in arrays:
+        if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+            a = a.astype(np.min_scalar_type(int(a.max())))
+        head += struct.pack("<2sq", a.dtype.str[1:].encode(), len(a))
+        body.append(a.tobytes())
+    return zstandard.compress(head + b"".join(body), 1)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(blob)
+    (n,), at, out = struct.unpack_from("<H", raw), 2 + 10 * struct.unpack_from("<H", raw)[0], []
+    for k in range(n):
+        kind, size = struct.unpack_from("<2sq", raw, 2 + 10 * k)
+        out.append(np.frombuffer(raw, np.dtype("<" + kind.decode()), size, at))
+        at += out[-1].nbytes
+    return out
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order and the place of each value among them."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.append(True, y[1:] != y[:-1]) if len(y) else np.zeros(0, bool)
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return y[new], back
+
+
+def token_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, number, lengths): distinct hashes in order, END first; each token's place there; each text's tokens."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(full)])
+    at = parts.offsets.to_numpy()
+    at = at - at[0]
+    n = upto[at[1:]] - upto[at[:-1]]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    known = np.fromiter((max(xxh64_intdigest(w) >> 1, 1) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
+    words, rank = distinct(np.append(known, END))
+    lengths = n + 1
+    number = np.empty(lengths.sum(), np.int64)
+    ends = np.cumsum(lengths) - 1
+    word = np.ones(len(number), bool)
+    word[ends] = False
+    number[word] = rank[:-1][coded.indices.to_numpy()]
+    number[ends] = rank[-1]
+    return words, number, lengths
+
+
+def blocks(rows: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each block of (doc_id, text, held_out): where it lies, its training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        name, out, at, done = f"blocks-{uuid.uuid4().hex}", None, 0, []
+        for b in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            many = -(-int(upto[-1]) // block_bytes) if b.num_rows else 1  # of about the same size
+            part = (upto - 1) * many // max(1, int(upto[-1])) if b.num_rows else upto
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                s = b.slice(a, z - a)
+                words, number, lengths = token_block(s.column(1))
+                held = s.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+                count = np.bincount(number[np.repeat(held == 0, lengths)], minlength=len(words))
+                ids = s.column(0)
+                blob = packed(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().view(np.uint64), held, lengths, words, number, count)
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                out.write(blob)
+                done.append((uuid.uuid4().int >> 65, at, len(blob), int((held == 0).sum())))
+                at += len(blob)
+        if out is not None:
+            out.close()
+        cols = list(zip(*done, strict=True)) or [()] * 4
+        path = [f"{folder.rstrip('/')}/{name}"] * len(done)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(path, pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["block", "path", "offset", "size", "documents"])
+
+    return written(map_arrow(rows.select("doc_id", "text", "held_out"), run, f"{PLACE}, documents long"), "lm-blocks")
+
+
+@dataclass
+class Plan:
+    """What every task knows; its size doesn't depend on the input beyond the bound on hot contexts."""
+
+    folder: str
+    shards: list[int]  # by order
+    keep: tuple[int, ...]
+    tokens: int = 0
+    vocabulary: int = 0
+    #: contexts dealt by word, in order, with their counts and backoff weights, by order from 2
+    hot: list[np.ndarray] = field(default_factory=list)
+    hot_count: list[np.ndarray] = field(default_factory=list)
+    hot_rest: list[np.ndarray] = field(default_factory=list)
+
+    @property
+    def order(self) -> int:
+        return len(self.shards)
+
+    def hot_at(self, level: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which contexts are hot, and where they stand."""
+        hot = self.hot[level - 2]
+        if not len(hot):
+            return np.zeros(len(context), bool), np.zeros(len(context), np.int64)
+        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+        return hot[at] == context, at
+
+    def shard(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        x = context.astype(np.uint64)
+        x = np.where(self.hot_at(level, context)[0], x ^ word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), x)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ x >> np.uint64(32)) % np.uint64(self.shards[level - 1])).astype(np.int64)
+
+
+class Block:
+    """The tokens of a block and what has been answered so far."""
+
+    def __init__(self, plan: Plan, path: str, offset: int, size: int):
+        fs, local = filesystem(path)
+        with fs.open_input_file(local) as f:
+            f.seek(offset)
+            valid, ids, self.held, lengths, words, number, self.count = unpacked(f.read(size))
+        self.plan, self.ids, self.words = plan, pa.array(ids.astype(np.uint64).view(np.int64), mask=valid == 0), words.astype(np.int64)
+        self.lengths, self.number = lengths.astype(np.int64), number.astype(np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.trained = np.repeat(self.held == 0, self.lengths)
+
+    def asked_words(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, payload) of the words."""
+        shard = self.words >> (63 - (self.plan.shards[0] - 1).bit_length())
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield int(shard[a]), packed(self.words[a:z], self.count[a:z])
+
+    def root(self, answers: list[bytes]) -> None:
+        node, count = (np.concatenate(x) for x in zip(*map(unpacked, answers), strict=True))
+        self.word = node.astype(np.int64)  # 0 for unknown ones
+        self.known = self.word > 0
+        self.base = (count + 0.5) / (self.plan.tokens + 0.5 * (self.plan.vocabulary + 1))
+        self.p = self.base[self.number]
+        self._follow(self.word[self.number])
+
+    def _follow(self, node: np.ndarray) -> None:
+        """Set each token's context, -1 for one that is not in the model."""
+        self.context = np.empty_like(node)
+        self.context[1:] = np.where(node[:-1] > 0, node[:-1], -1)
+        self.context[self.first] = START
+
+    def entries(self, level: int) -> None:
+        """The distinct n-grams whose context is in the model, in the order in which shards get them."""
+        self.asks = np.flatnonzero(self.context >= 0)
+        context, rank = distinct(self.context[self.asks])
+        code, self.entry = distinct(rank * len(self.words) + self.number[self.asks])
+        self.entry_context, self.entry_word = context[code // len(self.words)], self.word[code % len(self.words)]
+        shard = self.plan.shard(level, self.entry_context, self.entry_word)
+        kind = np.uint16 if self.plan.shards[level - 1] <= 1 << 16 else np.int64
+        self.sent = np.argsort(shard.astype(kind), kind="stable")
+        shard = shard[self.sent]
+        self.parts = np.split(self.sent, np.flatnonzero(np.diff(shard)) + 1) if len(shard) else []
+        self.part_shard = [int(x) for x in shard[np.append(True, shard[1:] != shard[:-1])]] if len(shard) else []
+
+    def asked(self, level: int) -> Iterator[tuple[int, bytes]]:
+        """(shard, payload) of the n-grams of one order."""
+        self.entries(level)
+        count = np.bincount(self.entry[self.trained[self.asks]], minlength=len(self.entry_word))
+        for shard, p in zip(self.part_shard, self.parts, strict=True):
+            context = self.entry_context[p]
+            new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            yield shard, packed(np.diff(context[new], prepend=0), np.diff(np.append(new, len(p))), self.entry_word[p], count[p])
+
+    def answered(self, level: int, answers: list[bytes]) -> None:
+        self.entries(level)
+        if not len(self.asks):
+            self._follow(np.zeros(len(self.number), np.int64))
+            return
+        got = [np.concatenate(x) for x in zip(*map(unpacked, answers), strict=True)]
+        node, part, rest = (np.empty(len(self.sent), x.dtype) for x in got)
+        node[self.sent], part[self.sent], rest[self.sent] = got
+        rest = probability(rest)
+        is_hot, at = self.plan.hot_at(level, self.entry_context)
+        if is_hot.any():
+            rest[is_hot] = self.plan.hot_rest[level - 2][at[is_hot]]
+        self.p[self.asks] = np.minimum(probability(part)[self.entry] + rest[self.entry] * self.p[self.asks], 1.0)
+        nodes = np.zeros(len(self.number), np.int64)
+        nodes[self.asks] = node[self.entry]
+        self._follow(nodes)
+
+    def rows(self) -> pa.RecordBatch:
+        total = lambda x: np.add.reduceat(x, self.first)
+        return pa.RecordBatch.from_arrays(
+            [self.ids, pa.array(self.held == 1), pa.array(self.lengths), pa.array(total(self.known[self.number].astype(np.int64))), pa.array(np.full(len(self.lengths), self.plan.tokens, np.int64)), pa.array(total(np.log10(self.base)[self.number])), pa.array(total(np.log10(self.p)))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+
+def resumed(plan: Plan, answers: Iterator[pa.RecordBatch], upto: int) -> Iterator[tuple[tuple, Block]]:
+    """Each block of answers (block, level, shard and payload, sorted) with the orders up to one taken in, and where it lies."""
+    for b in whole_shards(answers):
+        place = tuple(b.column(k)[0].as_py() for k in range(4))
+        block, level, payload = Block(plan, *place[1:]), b.column(4).to_pylist(), b.column(5).to_pylist()
+        for k in range(1, upto + 1):
+            mine = [p for x, p in zip(level, payload, strict=True) if x == k]
+            block.root(mine) if k == 1 else block.answered(k, mine)
+        yield place, block
+
+
+def _message(place: tuple, asked: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    shard, payload = zip(*asked, strict=True) if (asked := list(asked)) else ((), ())
+    cols = [[x] * len(shard) for x in place]
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array(payload, pa.binary())], names=["shard", "block", "path", "offset", "size", "payload"])
+
+
+def _answer(b: pa.RecordBatch, level: int, payload: list[bytes], path: str, tokens: int, vocabulary: int, node: np.ndarray, count: np.ndarray, hot: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """Answers to the messages of a shard, and a last row that describes its level file."""
+    n = b.num_rows
+    places = [pa.concat_arrays([b.column(k), pa.array([x], b.column(k).type)]) for k, x in ((1, None), (2, path), (3, None), (4, None))]
+    lone = lambda x, kind: pa.array([None] * n + [x], kind)
+    cols = [*places, pa.array([level] * (n + 1), pa.int32()), pa.array([b.column(0)[0].as_py()] * (n + 1), pa.int64()), pa.array([*payload, None], pa.binary()), lone(tokens, pa.int64()), lone(vocabulary, pa.int64())]
+    cols += [lone(x.tolist(), pa.list_(t)) for x, t in ((node, pa.int64()), (count, pa.int64()), (hot, pa.int64()), (own, pa.float64()))]
+    return pa.RecordBatch.from_arrays(cols, names=["block", "path", "offset", "size", "level", "shard", "payload", "tokens", "vocabulary", "node", "count", "hot", "own"])
+
+
+def word_level(plan: Plan, b: pa.RecordBatch, hot_least: int) -> pa.RecordBatch:
+    """Add up a shard's words, write its level and answer each word with its number (0: unknown) and count."""
+    shard = b.column(0)[0].as_py()
+    got = [unpacked(x) for x in b.column(5).to_pylist()]
+    h, back = distinct(np.concatenate([g[0] for g in got]).astype(np.int64))
+    n = np.bincount(back, np.concatenate([g[1] for g in got]), len(h)).astype(np.int64)
+    path = write_level(plan.folder, f"1-{uuid.uuid4().hex}", {"keys": h[n > 0]}, {"count": n[n > 0]})
+    sequences, plain = read_level(path)
+    at = sequences["keys"].find(h)
+    node = np.where(at >= 0, at * plan.shards[0] + shard + 1, 0)
+    count = np.where(at >= 0, np.append(plain["count"], 0)[at], 0)
+    ends = np.cumsum([len(g[0]) for g in got])
+    often = count > hot_least
+    return _answer(b, 1, [packed(node[i], count[i]) for i in np.split(back, ends[:-1])], path, int(count.sum()), int((n > 0).sum()), node[often], count[often], np.zeros(0, np.int64), np.zeros(0))
+
+
+def deep_level(plan: Plan, b: pa.RecordBatch, level: int, hot_least: int) -> pa.RecordBatch:
+    """Add up a shard's n-grams, write its level and answer each with its node, probability and backoff weight."""
+    shard, keep = b.column(0)[0].as_py(), plan.keep[level - 1]
+    got = [unpacked(x) for x in b.column(5).to_pylist()]
+    context, back = distinct(np.concatenate([np.repeat(np.cumsum(g[0].astype(np.int64)), g[1]) for g in got]))
+    word = np.concatenate([g[2] for g in got]).astype(np.int64)
+    width = int(word.max()) + 1
+    if len(context) * width >= 1 << 63:
+        raise OverflowError(f"{len(context)} contexts of {width} words do not fit one shard; use smaller shards")
+    key, back = distinct(back * width + word)
+    n = np.bincount(back, np.concatenate([g[3] for g in got]), len(key)).astype(np.int64)
+    of, word = key // width, key % width
+    whole = np.bincount(of, n, len(context))
+    is_hot, at = plan.hot_at(level, context)
+    if is_hot.any():
+        whole = np.where(is_hot, plan.hot_count[level - 2][at], whole)
+    # what the level keeps: contexts that were seen, and their successors that were seen often enough
+    seen = whole > 0
+    number = np.cumsum(seen) - 1
+    stay = (n >= keep) & (word > 0)
+    share = np.where(stay, (n - DISCOUNT) / np.maximum(whole[of], 1), 0.0)
+    own = np.bincount(of, share, len(context))
+    path = write_level(
+        plan.folder, f"{level}-{uuid.uuid4().hex}",
+        {"contexts": context[seen], "pointers": np.concatenate([[0], np.cumsum(np.bincount(number[of[stay]], minlength=seen.sum()))]), "successors": number[of[stay]] * width + word[stay]},
+        {"code": quantised(share[stay]), "rest": quantised(1 - own[seen]), "often": (n[stay] >= plan.keep[min(level, plan.order - 1)]).astype(np.uint8)},
+    )
+    # the answers come from the level alone
+    sequences, plain = read_level(path)
+    context_at = sequences["contexts"].find(context)
+    ask = np.flatnonzero(context_at[of] >= 0)
+    at = np.full(len(key), -1, np.int64)
+    at[ask] = sequences["successors"].find(context_at[of[ask]] * width + word[ask])
+    found = np.flatnonzero(at >= 0)
+    pointers = sequences["pointers"].get(np.arange(len(context_at[context_at >= 0]) + 1))
+    if not ((pointers[context_at[of[found]]] <= at[found]) & (at[found] < pointers[context_at[of[found]] + 1])).all():
+        raise ValueError(f"the level {path} has a successor outside its context")
+    part, rest, node = np.full(len(key), ABSENT, np.uint16), np.zeros(len(key), np.uint16), np.zeros(len(key), np.int64)
+    part[found], rest[ask] = plain["code"][at[found]], plain["rest"][context_at[of[ask]]]
+    if level < plan.order:
+        go = found[plain["often"][at[found]] > 0]
+        node[go] = at[go] * plan.shards[level - 1] + shard + 1
+    often = (n > hot_least) & (node > 0)
+    ends = np.cumsum([len(g[2]) for g in got])
+    answers = [packed(node[i], part[i], rest[i]) for i in np.split(back, ends[:-1])]
+    return _answer(b, level, answers, path, 0, 0, node[often], n[often], context[is_hot], own[is_hot])
+
+
+def scored(docs: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, word_shard_bytes: int = WORD_SHARD_BYTES, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
+    spark = docs.sparkSession
     rows = id_text(docs).withColumn("held_out", bucket5() == HELD_OUT)
-    model = trained(rows.where("not held_out"))
+    folder = shared_path(spark, "trie")
+    where = blocks(rows, folder, block_bytes)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = where.agg(F.count("*"), F.coalesce(F.sum("documents"), F.lit(0))).first()
+    tasks = min(20_000, max(1, -(-size[0] // TASK_BLOCKS)))
+    words = 1 << (max(1, -(-total // word_shard_bytes)) - 1).bit_length()
+    plan = Plan(folder, [words] + [max(1, -(-total // shard_bytes))] * (order - 1), keep)
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                yield _message(place, Block(plan, *place[1:]).asked_words())
+
+    def by_block(answers: list[DataFrame]) -> DataFrame:
+        every = answers[0]
+        for a in answers[1:]:
+            every = every.unionByName(a)
+        every = every.where("block is not null").select("block", "path", "offset", "size", "level", "payload", "shard")
+        return every.repartition(tasks, "block").sortWithinPartitions("block", "level", "shard")
+
+    def asked(level: int, answers: list[DataFrame]) -> DataFrame:
+        if level == 1:
+            return map_arrow(where.select("block", "path", "offset", "size").repartition(tasks), ask_words, ASKED)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for place, block in resumed(plan, batches, level - 1):
+                yield _message(place, block.asked(level))
+
+        return map_arrow(by_block(answers), run, ASKED)
+
+    def answered(level: int, messages: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in whole_shards(batches):
+                yield word_level(plan, b, hot_least) if level == 1 else deep_level(plan, b, level, hot_least)
+
+        dealt = messages.repartition(min(plan.shards[level - 1], 20_000), "shard").sortWithinPartitions("shard")
+        return written(map_arrow(dealt, run, ANSWERED), f"lm-answers-{level}")
+
+    answers: list[DataFrame] = []
+    for level in range(1, order + 1):
+        answers.append(answered(level, asked(level, answers)))
+        about = answers[-1].where("block is null")
+        if level == 1:
+            t = about.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+            plan.tokens, plan.vocabulary = t[0], t[1]
+        else:
+            own = {r["hot"]: r["own"] for r in about.select(F.explode(F.arrays_zip("hot", "own")).alias("x")).groupBy(F.col("x.hot").alias("hot")).agg(F.sum("x.own").alias("own")).collect()}  # of hot contexts only
+            plan.hot_rest.append(np.array([1 - own.get(h, 0.0) for h in plan.hot[level - 2].tolist()]))
+        if level < order:
+            least = max(hot_least, HOT_SHARE * plan.tokens)
+            hot = about.select(F.explode(F.arrays_zip("node", "count")).alias("x")).select("x.node", "x.count").where(F.col("count") > least).collect()  # 1 / HOT_SHARE rows at most
+            found = sorted([(r["node"], r["count"]) for r in hot] + [(START, size[1])] * (size[1] > least))
+            plan.hot.append(np.array([h for h, _ in found], np.int64))
+            plan.hot_count.append(np.array([n for _, n in found], np.int64))
+        release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs_of, w, lengths in _blocks(batches, LOOKUP_TOKENS):
-            n_known, base, score = score_block(model, w, lengths)
-            ids = [b.column(0)[k].as_py() for b, k in docs_of]
-            held = [b.column(2)[k].as_py() for b, k in docs_of]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(ids), model.tokens, np.int64)), pa.array(base), pa.array(score)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return map_arrow(rows.select("doc_id", "text", "held_out"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for _, block in resumed(plan, batches, order):
+            yield block.rows()
+
+    return map_arrow(by_block(answers), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
