@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tickloom import schemas
 from tickloom.functions import scalars
-from tickloom.operators import detect, facts, features, routing, sketches, ticks, windows
+from tickloom.operators import detect, facts, features, routing, sketches, step, step_sql, ticks, windows
 from tickloom.plans import catalogue
 from tickloom.sources import frames, registry, wire
 from tickloom.sources.adapters import EPOCH_S, PACKETS_SQL, REGISTRY_JSON, SERVICE_IP, packets_from_lineitem
@@ -605,6 +605,35 @@ def snapshot_features(spark, d):
     return f.where("inbound_pkts > 0").select("tick", "slot_id", "pps", "bps", "tcp_n", "syn_ratio")
 
 
+FLOOD_EVERY, FLOOD_FROM, FLOOD = 50, 42, 40  # ticks, ticks, times
+_FLOODED = ["inbound_pkts", "inbound_bytes", "syn_pkts", "tcp_pkts", "udp_pkts", "icmp_pkts", "ip_frag_pkts"]
+
+
+def _flooded(s: DataFrame) -> DataFrame:
+    """Records with several times the packets in the last ticks of each fifty, so that every phase is met."""
+    times = F.when(F.pmod("tick", F.lit(FLOOD_EVERY)) >= FLOOD_FROM, FLOOD).otherwise(1)
+    return s.withColumns({c: F.col(c) * times for c in _FLOODED})
+
+
+_SNAP_SQL = f"""{_SEEN}, {ticks.COUNTERS_SQL}, nets AS{_NETS.split(", nets AS", 1)[1]},
+est0 AS (SELECT tick, slot_id, sketch, sum(2.0 ** -rank) AS total, count(*) AS used FROM regs GROUP BY ALL),
+est AS (SELECT tick, slot_id, {", ".join(f"max({sketches.estimate_sql('total', 'used')}) FILTER (WHERE sketch = '{c}') AS {c}" for c in sketches.ESTIMATES)} FROM est0 GROUP BY tick, slot_id),
+shape AS (SELECT tick, slot_id, max(n) / any_value(total) AS src_24_top1_share, log2(any_value(total)) - sum(n * log2(n)) / any_value(total) AS src_24_entropy FROM (SELECT *, sum(n) OVER (PARTITION BY tick, slot_id) AS total FROM nets) GROUP BY tick, slot_id),
+span AS (SELECT min(tick) AS a, max(tick) AS z FROM counters),
+snap AS (
+  SELECT t.tick, s.slot_id, s.proto_kind, {", ".join(f"coalesce(c.{x}, 0){' * flood' if x in _FLOODED else ''} AS {x}" for x in (*_LONGS, *_MOMENTS))}, {", ".join(f"coalesce({x}, 0) AS {x}" for x in (*sketches.ESTIMATES, "src_24_top1_share", "src_24_entropy"))},
+    CASE profile_name WHEN 'strict_web' THEN 0.1 ELSE 0.05 END::DOUBLE AS alpha, 6.0::DOUBLE AS ceiling, CASE profile_name WHEN 'strict_web' THEN 400.0 ELSE 0 END AS pps_limit, 8 AS freeze_ticks, 6 AS thaw_ticks, 20 AS warmup
+  FROM (SELECT tick, CASE WHEN ((tick % {FLOOD_EVERY}) + {FLOOD_EVERY}) % {FLOOD_EVERY} >= {FLOOD_FROM} THEN {FLOOD} ELSE 1 END AS flood FROM (SELECT unnest(range(a, z + 1)) AS tick FROM span)) t CROSS JOIN slots s
+  LEFT JOIN counters c ON c.tick = t.tick AND c.slot_id = s.slot_id LEFT JOIN est e ON e.tick = t.tick AND e.slot_id = s.slot_id LEFT JOIN shape h ON h.tick = t.tick AND h.slot_id = s.slot_id
+)"""
+
+
+@query("detector_steps", f"WITH RECURSIVE{_SNAP_SQL.removeprefix('WITH')}, {step_sql.FEATURES_SQL}, {step_sql.fold_sql()} SELECT tick, slot_id, {', '.join(f'round({c}, 6) + 0.0 AS {c}' if c in step_sql.REALS else c for c in step.OUTPUTS)} FROM folded WHERE k > 0")
+def detector_steps(spark, d):
+    profiles = registry.profiles(_document(spark))
+    return detect.detected(_flooded(_snapshots(spark, d, "window")), profiles).select("tick", "slot_id", *step.OUTPUTS)
+
+
 @query("detector")
 def detector(spark, d):
     return facts.service_stats(detect.detected(_snapshots(spark, d), registry.profiles(_document(spark))))
