@@ -52,11 +52,12 @@ def shared_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(removed, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder, if it is there."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -9,6 +9,9 @@ that are never cleared would give.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,26 +27,24 @@ ESTIMATES = ["est_unique_src_ips", "est_unique_flows", "est_tcp_new_flows", "est
 
 def observations(routed: DataFrame) -> DataFrame:
     """(tick, slot_id, sketch, h): what each routed packet adds to the register sketches."""
-    flow = flow_hash(F.col("src_ip"), F.col("src_port"), F.col("dst_port"))
     on_tcp = (F.col("ip_proto") == 6) & F.col("proto_kind").isin(1, 4, 7)
     on_udp = (F.col("ip_proto") == 17) & F.col("proto_kind").isin(2, 5, 7)
-    port = hash32(F.col("dst_port"))
-    inbound = F.array(
-        F.struct(F.lit("est_unique_src_ips").alias("sketch"), hash32(F.col("src_ip")).alias("h")),
-        F.struct(F.lit("est_unique_flows").alias("sketch"), flow.alias("h")),
-        F.struct(F.when(on_tcp, "est_tcp_new_flows").when(on_udp, "est_udp_flows").alias("sketch"), flow.alias("h")),
-        F.struct(F.when(F.col("proto_kind") == 7, "est_other_dst_ports").alias("sketch"), port.alias("h")),
-    )
-    outbound = F.array(
-        F.struct(F.lit("out_dst_ips").alias("sketch"), hash32(F.col("dst_ip")).alias("h")),
-        F.struct(F.when(F.col("dst_port") != 0, "out_dst_ports").alias("sketch"), port.alias("h")),
-    )
-    return routed.where("slot_id is not null").select("tick", "slot_id", F.inline(F.when(F.col("inbound"), inbound).otherwise(outbound))).where("sketch is not null")
+    # each hash is a column of its own first: a generator would work out its common parts again and again
+    hashed = routed.where("slot_id is not null").select(
+        "tick", "slot_id", "inbound",
+        F.when(on_tcp, "est_tcp_new_flows").when(on_udp, "est_udp_flows").alias("arm"), (F.col("proto_kind") == 7).alias("other"), (F.col("dst_port") != 0).alias("ported"),
+        hash32(F.when(F.col("inbound"), F.col("src_ip")).otherwise(F.col("dst_ip"))).alias("peer"), flow_hash(F.col("src_ip"), F.col("src_port"), F.col("dst_port")).alias("flow"), hash32(F.col("dst_port")).alias("port"),
+    )
+    seen = lambda sketch, h: F.struct(sketch.alias("sketch"), F.col(h).alias("h"))
+    inbound = F.array(seen(F.lit("est_unique_src_ips"), "peer"), seen(F.lit("est_unique_flows"), "flow"), seen(F.col("arm"), "flow"), seen(F.when(F.col("other"), "est_other_dst_ports"), "port"))
+    outbound = F.array(seen(F.lit("out_dst_ips"), "peer"), seen(F.when(F.col("ported"), "out_dst_ports"), "port"))
+    return hashed.select("tick", "slot_id", F.inline(F.when(F.col("inbound"), inbound).otherwise(outbound))).where("sketch is not null")
 
 
 def registers(seen: DataFrame, *keys: str) -> DataFrame:
     """The largest rank in each register: 1 + leading zeros of the hash's upper 22 bits."""
-    rank = F.lit(23) - F.length(F.bin(F.shiftright("h", 10).bitwiseOR(F.lit(1).cast("long"))))
+    upper = F.shiftright("h", 10)
+    rank = F.lit(22) - reduce(add, ((upper >= 1 << k).cast("int") for k in range(1, 22)))
     return seen.groupBy(*keys, F.col("h").bitwiseAND(REGISTERS - 1).alias("idx")).agg(F.max(rank).alias("rank"))
 
 
@@ -86,35 +87,41 @@ def estimates(seen: DataFrame, scope: str = "window") -> DataFrame:
 def subnet_counts(routed: DataFrame) -> DataFrame:
     """Inbound packets by tick, slot and bucket of the source's /24."""
     net = F.col("src_ip") - F.col("src_ip") % 256
-    return routed.where("inbound and slot_id is not null").groupBy("tick", "slot_id", bucket_hash(net, SUBNET_BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
+    hit = routed.where("inbound and slot_id is not null").select("tick", "slot_id", bucket_hash(net, SUBNET_BUCKETS).alias("bucket"))
+    return hit.groupBy("tick", "slot_id", "bucket").agg(F.count("*").alias("n"))
+
 
+def _grown(counts: DataFrame, scope: str, *keys: str) -> DataFrame:
+    """(tick, *keys, total, top, weighted) of the bucket counts so far: their sum, their largest and the sum of n log2 n.
 
-def _summed_so_far(counts: DataFrame, scope: str, *keys: str) -> DataFrame:
-    """Counts of every bucket seen so far, at each tick at which its slot saw anything."""
+    Counts only rise, so what a tick adds to each of the three is known from the buckets it
+    hits; these additions are summed up over the ticks, and no bucket is carried through
+    ticks that do not hit it.
+    """
+    weight = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
     if scope == "window":
-        return counts
-    bank = (F.col("tick") % 2 if scope == "bank" else F.lit(0)).alias("bank")
-    ticks = counts.select("tick", *keys, bank).distinct()
-    first = counts.groupBy(*keys, "bucket", bank).agg(F.min("tick").alias("since"))
-    grid = first.join(ticks, [*keys, "bank"]).where("tick >= since")
-    w = Window.partitionBy(*keys, "bank", "bucket").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(counts, [*keys, "bucket", "tick"], "left").select("tick", *keys, "bucket", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n"))
+        return counts.groupBy("tick", *keys).agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.sum(weight(F.col("n"))).alias("weighted"))
+    counts = counts.withColumn("bank", F.col("tick") % 2 if scope == "bank" else F.lit(0))
+    so_far = Window.partitionBy(*keys, "bank", "bucket").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    hits = counts.withColumn("after", F.sum("n").over(so_far))
+    each = hits.groupBy(*keys, "bank", "tick").agg(F.sum("n").alias("n"), F.max("after").alias("top"), F.sum(weight(F.col("after")) - weight(F.col("after") - F.col("n"))).alias("weighted"))
+    run = Window.partitionBy(*keys, "bank").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("tick", *keys, F.sum("n").over(run).alias("total"), F.max("top").over(run).alias("top"), F.sum("weighted").over(run).alias("weighted"))
 
 
 def subnet_shape(routed: DataFrame, scope: str = "window") -> DataFrame:
     """(tick, slot_id, src_24_top1_share, src_24_entropy) over the buckets."""
-    n = _summed_so_far(subnet_counts(routed), scope, "slot_id")
-    # -sum p log2 p = log2 N - sum(n log2 n) / N, so one aggregation is enough
-    each = n.groupBy("tick", "slot_id").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.sum(F.col("n") * F.log2("n")).alias("weighted"))
+    each = _grown(subnet_counts(routed), scope, "slot_id")
+    # -sum p log2 p = log2 N - sum(n log2 n) / N
     return each.select("tick", "slot_id", (F.col("top") / F.col("total")).alias("src_24_top1_share"), (F.log2("total") - F.col("weighted") / F.col("total")).alias("src_24_entropy"))
 
 
 def port_tops(routed: DataFrame, scope: str = "window") -> DataFrame:
     """(tick, slot_id, arm, top_count, total) of source ports on the TCP and UDP arms."""
     arm = F.when((F.col("ip_proto") == 6) & F.col("proto_kind").isin(1, 4, 7), "tcp").when((F.col("ip_proto") == 17) & F.col("proto_kind").isin(2, 5, 7), "udp")
-    r = routed.where("inbound and slot_id is not null").withColumn("arm", arm).where("arm is not null")
-    n = _summed_so_far(r.groupBy("tick", "slot_id", "arm", bucket_hash(F.col("src_port"), PORT_BUCKETS).alias("bucket")).agg(F.count("*").alias("n")), scope, "slot_id", "arm")
-    return n.groupBy("tick", "slot_id", "arm").agg(F.max("n").alias("top_count"), F.sum("n").alias("total"))
+    r = routed.where("inbound and slot_id is not null").select("tick", "slot_id", arm.alias("arm"), bucket_hash(F.col("src_port"), PORT_BUCKETS).alias("bucket")).where("arm is not null")
+    each = _grown(r.groupBy("tick", "slot_id", "arm", "bucket").agg(F.count("*").alias("n")), scope, "slot_id", "arm")
+    return each.select("tick", "slot_id", "arm", F.col("top").alias("top_count"), "total")
 
 
 def _mul(a: str, b: int) -> str:
