@@ -23,7 +23,9 @@ Contexts with more than ``HOT_SHARE`` of all tokens (500,000 at most) and ``HOT_
 are dealt to the shards by their words; their counts are known from the order before and
 their backoff weights are added up from the shards.  All counts are of all training
 documents.  Tables of blocks, answers and levels are written before they are read, so a
-repeated task reads what the first one did; files of lost attempts are in no table.
+repeated task reads what the first one did; files of lost attempts are in no table.  The
+hashes of a block's words and, unless a folder for the model is given, the files of a
+level are deleted as soon as all answers of their order are written.
 
 Words are known by 63-bit hashes.  Nulls and edges: a null text is the end alone; a null
 doc_id counts as the empty id text, and is trained on.  Repeated rows count and are
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tickloom.cluster import shared_path, written
+from tickloom.cluster import removed, shared_path, written
 from tickloom.llm.common import bucket5, id_text, map_arrow, release
 from tickloom.llm.substrings import whole_shards
 from tickloom.llm.trie import ABSENT, probability, quantised, read_level, write_level
@@ -125,11 +127,11 @@ def token_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def blocks(rows: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each block of (doc_id, text, held_out): where it lies, its training documents."""
+    """A row for each block of (doc_id, text, held_out): where it and its words lie, its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        name, out, at, done = f"blocks-{uuid.uuid4().hex}", None, 0, []
+        name, done, files, at = uuid.uuid4().hex, [], [], [0, 0]
         for b in batches:
             upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             many = -(-int(upto[-1]) // block_bytes) if b.num_rows else 1  # of about the same size
@@ -143,27 +145,37 @@ def blocks(rows: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> Data
                 held = s.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
                 count = np.bincount(number[np.repeat(held == 0, lengths)], minlength=len(words))
                 ids = s.column(0)
-                blob = packed(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().view(np.uint64), held, lengths, words, number, count)
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                out.write(blob)
-                done.append((uuid.uuid4().int >> 65, at, len(blob), int((held == 0).sum())))
-                at += len(blob)
-        if out is not None:
-            out.close()
-        cols = list(zip(*done, strict=True)) or [()] * 4
-        path = [f"{folder.rstrip('/')}/{name}"] * len(done)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(path, pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["block", "path", "offset", "size", "documents"])
-
-    return written(map_arrow(rows.select("doc_id", "text", "held_out"), run, f"{PLACE}, documents long"), "lm-blocks")
+                blobs = packed(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().view(np.uint64), held, lengths, number), packed(words, count)
+                if not files:
+                    for kind in ("tokens", "words"):
+                        fs.create_dir(f"{root}/{kind}", recursive=True)
+                        files.append(fs.open_output_stream(f"{root}/{kind}/{name}", compression=None))
+                done.append((uuid.uuid4().int >> 65, at[0], len(blobs[0]), at[1], len(blobs[1]), int((held == 0).sum())))
+                for k, (f, blob) in enumerate(zip(files, blobs, strict=True)):
+                    f.write(blob)
+                    at[k] += len(blob)
+        for f in files:
+            f.close()
+        cols = list(zip(*done, strict=True)) or [()] * 6
+        path = [f"{folder.rstrip('/')}/tokens/{name}"] * len(done)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(path, pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["block", "path", "offset", "size", "words_offset", "words_size", "documents"])
+
+    return written(map_arrow(rows.select("doc_id", "text", "held_out"), run, f"{PLACE}, words_offset long, words_size long, documents long"), "lm-blocks")
+
+
+def stored(path: str, offset: int, size: int) -> list[np.ndarray]:
+    """The arrays of a blob in a file."""
+    fs, local = filesystem(path)
+    with fs.open_input_file(local) as f:
+        f.seek(offset)
+        return unpacked(f.read(size))
 
 
 @dataclass
 class Plan:
     """What every task knows; its size doesn't depend on the input beyond the bound on hot contexts."""
 
-    folder: str
+    model: str  # the folder of the levels
     shards: list[int]  # by order
     keep: tuple[int, ...]
     tokens: int = 0
@@ -192,29 +204,31 @@ class Plan:
         return ((x ^ x >> np.uint64(32)) % np.uint64(self.shards[level - 1])).astype(np.int64)
 
 
+def asked_words(plan: Plan, words: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, payload) of a block's words."""
+    shard = words.astype(np.int64) >> (63 - (plan.shards[0] - 1).bit_length())
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        yield int(shard[a]), packed(words[a:z], count[a:z])
+
+
 class Block:
     """The tokens of a block and what has been answered so far."""
 
     def __init__(self, plan: Plan, path: str, offset: int, size: int):
-        fs, local = filesystem(path)
-        with fs.open_input_file(local) as f:
-            f.seek(offset)
-            valid, ids, self.held, lengths, words, number, self.count = unpacked(f.read(size))
-        self.plan, self.ids, self.words = plan, pa.array(ids.astype(np.uint64).view(np.int64), mask=valid == 0), words.astype(np.int64)
+        valid, ids, self.held, lengths, number = stored(path, offset, size)
+        self.plan, self.ids = plan, pa.array(ids.astype(np.uint64).view(np.int64), mask=valid == 0)
         self.lengths, self.number = lengths.astype(np.int64), number.astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(self.held == 0, self.lengths)
 
-    def asked_words(self) -> Iterator[tuple[int, bytes]]:
-        """(shard, payload) of the words."""
-        shard = self.words >> (63 - (self.plan.shards[0] - 1).bit_length())
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            yield int(shard[a]), packed(self.words[a:z], self.count[a:z])
-
     def root(self, answers: list[bytes]) -> None:
         node, count = (np.concatenate(x) for x in zip(*map(unpacked, answers), strict=True))
-        self.word = node.astype(np.int64)  # 0 for unknown ones
+        order = np.argsort(node, kind="stable")  # from now on words stand in the order of their nodes
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.number, count = place[self.number], count[order]
+        self.word = node[order].astype(np.int64)  # 0 for unknown ones
         self.known = self.word > 0
         self.base = (count + 0.5) / (self.plan.tokens + 0.5 * (self.plan.vocabulary + 1))
         self.p = self.base[self.number]
@@ -230,8 +244,8 @@ class Block:
         """The distinct n-grams whose context is in the model, in the order in which shards get them."""
         self.asks = np.flatnonzero(self.context >= 0)
         context, rank = distinct(self.context[self.asks])
-        code, self.entry = distinct(rank * len(self.words) + self.number[self.asks])
-        self.entry_context, self.entry_word = context[code // len(self.words)], self.word[code % len(self.words)]
+        code, self.entry = distinct(rank * len(self.word) + self.number[self.asks])
+        self.entry_context, self.entry_word = context[code // len(self.word)], self.word[code % len(self.word)]
         shard = self.plan.shard(level, self.entry_context, self.entry_word)
         kind = np.uint16 if self.plan.shards[level - 1] <= 1 << 16 else np.int64
         self.sent = np.argsort(shard.astype(kind), kind="stable")
@@ -244,18 +258,25 @@ class Block:
         self.entries(level)
         count = np.bincount(self.entry[self.trained[self.asks]], minlength=len(self.entry_word))
         for shard, p in zip(self.part_shard, self.parts, strict=True):
-            context = self.entry_context[p]
-            new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            yield shard, packed(np.diff(context[new], prepend=0), np.diff(np.append(new, len(p))), self.entry_word[p], count[p])
+            new = self.runs(p)
+            yield shard, packed(np.diff(self.entry_context[p][new], prepend=0), np.diff(np.append(new, len(p))), self.entry_word[p], count[p])
+
+    def runs(self, p: np.ndarray) -> np.ndarray:
+        """Where the contexts of a part begin."""
+        context = self.entry_context[p]
+        return np.flatnonzero(np.append(True, context[1:] != context[:-1]))
 
     def answered(self, level: int, answers: list[bytes]) -> None:
         self.entries(level)
         if not len(self.asks):
             self._follow(np.zeros(len(self.number), np.int64))
             return
-        got = [np.concatenate(x) for x in zip(*map(unpacked, answers), strict=True)]
-        node, part, rest = (np.empty(len(self.sent), x.dtype) for x in got)
-        node[self.sent], part[self.sent], rest[self.sent] = got
+        node, part, rest = np.zeros(len(self.sent), np.int64), np.empty(len(self.sent), np.uint16), np.empty(len(self.sent), np.uint16)
+        for p, shard, answer in zip(self.parts, self.part_shard, answers, strict=True):
+            step, part[p], least = unpacked(answer)
+            rest[p] = np.repeat(least, np.diff(np.append(self.runs(p), len(p))))
+            at = np.flatnonzero(step)
+            node[p[at]] = (np.cumsum(step[at].astype(np.int64)) - 1) * self.plan.shards[level - 1] + shard + 1
         rest = probability(rest)
         is_hot, at = self.plan.hot_at(level, self.entry_context)
         if is_hot.any():
@@ -306,7 +327,7 @@ def word_level(plan: Plan, b: pa.RecordBatch, hot_least: int) -> pa.RecordBatch:
     got = [unpacked(x) for x in b.column(5).to_pylist()]
     h, back = distinct(np.concatenate([g[0] for g in got]).astype(np.int64))
     n = np.bincount(back, np.concatenate([g[1] for g in got]), len(h)).astype(np.int64)
-    path = write_level(plan.folder, f"1-{uuid.uuid4().hex}", {"keys": h[n > 0]}, {"count": n[n > 0]})
+    path = write_level(f"{plan.model}/1", uuid.uuid4().hex, {"keys": h[n > 0]}, {"count": n[n > 0]})
     sequences, plain = read_level(path)
     at = sequences["keys"].find(h)
     node = np.where(at >= 0, at * plan.shards[0] + shard + 1, 0)
@@ -339,7 +360,7 @@ def deep_level(plan: Plan, b: pa.RecordBatch, level: int, hot_least: int) -> pa.
     share = np.where(stay, (n - DISCOUNT) / np.maximum(whole[of], 1), 0.0)
     own = np.bincount(of, share, len(context))
     path = write_level(
-        plan.folder, f"{level}-{uuid.uuid4().hex}",
+        f"{plan.model}/{level}", uuid.uuid4().hex,
         {"contexts": context[seen], "pointers": np.concatenate([[0], np.cumsum(np.bincount(number[of[stay]], minlength=seen.sum()))]), "successors": number[of[stay]] * width + word[stay]},
         {"code": quantised(share[stay]), "rest": quantised(1 - own[seen]), "often": (n[stay] >= plan.keep[min(level, plan.order - 1)]).astype(np.uint8)},
     )
@@ -353,33 +374,40 @@ def deep_level(plan: Plan, b: pa.RecordBatch, level: int, hot_least: int) -> pa.
     pointers = sequences["pointers"].get(np.arange(len(context_at[context_at >= 0]) + 1))
     if not ((pointers[context_at[of[found]]] <= at[found]) & (at[found] < pointers[context_at[of[found]] + 1])).all():
         raise ValueError(f"the level {path} has a successor outside its context")
-    part, rest, node = np.full(len(key), ABSENT, np.uint16), np.zeros(len(key), np.uint16), np.zeros(len(key), np.int64)
-    part[found], rest[ask] = plain["code"][at[found]], plain["rest"][context_at[of[ask]]]
+    part, rest, node = np.full(len(key), ABSENT, np.uint16), np.zeros(len(context), np.uint16), np.zeros(len(key), np.int64)
+    part[found], rest[context_at >= 0] = plain["code"][at[found]], plain["rest"][context_at[context_at >= 0]]
     if level < plan.order:
         go = found[plain["often"][at[found]] > 0]
-        node[go] = at[go] * plan.shards[level - 1] + shard + 1
+        node[go] = at[go] + 1
+    answers = []
+    for g, mine in zip(got, np.split(back, np.cumsum([len(g[2]) for g in got])[:-1]), strict=True):
+        # numbers of nodes rise with context and word, as messages do, so they are sent as steps; 0 for none
+        step, has = np.zeros(len(mine), np.int64), np.flatnonzero(node[mine])
+        step[has] = np.diff(node[mine[has]], prepend=0)
+        answers.append(packed(step, part[mine], rest[of[mine[np.cumsum(g[1].astype(np.int64)) - 1]]]))
     often = (n > hot_least) & (node > 0)
-    ends = np.cumsum([len(g[2]) for g in got])
-    answers = [packed(node[i], part[i], rest[i]) for i in np.split(back, ends[:-1])]
-    return _answer(b, level, answers, path, 0, 0, node[often], n[often], context[is_hot], own[is_hot])
+    return _answer(b, level, answers, path, 0, 0, (node[often] - 1) * plan.shards[level - 1] + shard + 1, n[often], context[is_hot], own[is_hot])
+
 
+def scored(docs: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, word_shard_bytes: int = WORD_SHARD_BYTES, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, hot_least: int = HOT_LEAST, model: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document.
 
-def scored(docs: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, word_shard_bytes: int = WORD_SHARD_BYTES, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
+    ``model`` names a shared folder in which the levels of the trie stay, a folder for each order.
+    """
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("held_out", bucket5() == HELD_OUT)
-    folder = shared_path(spark, "trie")
+    folder = shared_path(spark, "lm")
     where = blocks(rows, folder, block_bytes)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = where.agg(F.count("*"), F.coalesce(F.sum("documents"), F.lit(0))).first()
     tasks = min(20_000, max(1, -(-size[0] // TASK_BLOCKS)))
     words = 1 << (max(1, -(-total // word_shard_bytes)) - 1).bit_length()
-    plan = Plan(folder, [words] + [max(1, -(-total // shard_bytes))] * (order - 1), keep)
+    plan = Plan(model or f"{folder}/levels", [words] + [max(1, -(-total // shard_bytes))] * (order - 1), keep)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for place in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                yield _message(place, Block(plan, *place[1:]).asked_words())
+            for *place, offset, n in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                yield _message(place, asked_words(plan, *stored(place[1].replace("/tokens/", "/words/", 1), offset, n)))
 
     def by_block(answers: list[DataFrame]) -> DataFrame:
         every = answers[0]
@@ -390,7 +418,7 @@ def scored(docs: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, wo
 
     def asked(level: int, answers: list[DataFrame]) -> DataFrame:
         if level == 1:
-            return map_arrow(where.select("block", "path", "offset", "size").repartition(tasks), ask_words, ASKED)
+            return map_arrow(where.drop("documents").repartition(tasks), ask_words, ASKED)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for place, block in resumed(plan, batches, level - 1):
@@ -422,6 +450,8 @@ def scored(docs: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, wo
             found = sorted([(r["node"], r["count"]) for r in hot] + [(START, size[1])] * (size[1] > least))
             plan.hot.append(np.array([h for h, _ in found], np.int64))
             plan.hot_count.append(np.array([n for _, n in found], np.int64))
+        for done in [f"{folder}/words"] * (level == 1) + [f"{folder}/levels/{level}"]:  # a model's folder is another
+            removed(spark, done)
         release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
