@@ -15,8 +15,8 @@ it has at most ``BROADCAST_WINDOWS`` windows, and shuffled otherwise.
 
 Nulls and edges: a null text has no words and is clean.  Rows of one doc_id and text
 are one document and get the same result in each row; a null doc_id is kept.  Items
-without words match nothing, a null item_id is left out of the list of items.  Empty
-tables give no rows, or clean documents.  Columns other than those named are not read.
+without words match nothing, a null item_id is left out of the list of items.  Texts are
+read whole, however long, and repeated items count once.  Empty tables give no rows, or clean documents.  Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from tickloom.llm.native import LOWER, UPPER, changes, grams, let, piece, upto,
 
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased, for counting.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
 #: Windows of about 100 bytes each; more are shuffled.
@@ -62,23 +60,37 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return long.unionByName(short).distinct()
 
 
-def hits(docs: DataFrame, wins: DataFrame, window: int = WINDOW, gram: int = GRAM, small: bool = True, short_lengths: tuple[int, ...] = ()) -> DataFrame:
-    """(doc_id, th, start, win) for each occurrence of a benchmark window; th is the text's hash."""
-    put = F.broadcast if small else (lambda x: x)
+def runs(docs: DataFrame, wins: DataFrame, window: int = WINDOW, gram: int = GRAM, small: bool = True, counted: bool = False) -> DataFrame:
+    """(doc_id, th, start, around, whole): the words around each fingerprint of a benchmark window.
+
+    With ``counted`` there is also a row for each document, marked ``whole``, whose
+    ``start`` is its number of words, so that one pass over the texts is enough.
+    """
     h = _hashed(docs, F.col("doc_id"), F.col("th"))
     # no filter on n: it would be pushed below and cut the words once more
-    runs = h.withColumn("fps", _fingerprints(F.col("hw"), F.col("n"), window, gram))
-    runs = runs.withColumn("at", changes(F.col("fps"), F.size("fps")))
-    each = let(
+    each = h.withColumn("fps", _fingerprints(F.col("hw"), F.col("n"), window, gram)).withColumn("at", changes(F.col("fps"), F.size("fps")))
+    found = let(
         F.struct("hw", "fps", "at"),
-        lambda s: F.transform(s["at"], lambda a, j: F.struct(s["fps"][a].alias("fp"), a.alias("start"), piece(s["hw"], a, F.coalesce(F.get(s["at"], j + 1), F.size(s["fps"])) - a + (window - 1)).alias("around"))),
+        lambda s: F.transform(
+            s["at"],
+            lambda a, j: F.struct(s["fps"][a].alias("fp"), a.alias("start"), piece(s["hw"], a, F.coalesce(F.get(s["at"], j + 1), F.size(s["fps"])) - a + (window - 1)).alias("around"), F.lit(False).alias("whole")),
+        ),
     )
-    found = runs.select("doc_id", "th", F.inline(each)).join(put(wins.where("fp is not null").select("fp").distinct()), "fp", "left_semi")
+    if counted:  # the key only deals these rows out
+        found = F.concat(F.array(F.struct(F.xxhash64("doc_id", "th").alias("fp"), F.col("n").alias("start"), F.array().cast("array<bigint>").alias("around"), F.lit(True).alias("whole"))), found)
+    known = wins.where("fp is not null").select("fp").distinct().withColumn("there", F.lit(True))
+    rows = each.select("doc_id", "th", F.inline(found)).join(F.broadcast(known) if small else known, "fp", "left")
+    return rows.where("there or whole").select("doc_id", "th", "start", "around", "whole")
+
+
+def hits(docs: DataFrame, near: DataFrame, wins: DataFrame, window: int = WINDOW, small: bool = True, short_lengths: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, th, start, win) for each occurrence of a benchmark window, from :func:`runs`; th is the text's hash."""
     spread = let(F.col("around"), lambda x: F.transform(upto(F.size(x) - (window - 1)), lambda i: piece(x, i, F.lit(window))))
-    cand = found.select("doc_id", "th", "start", F.posexplode(spread).alias("k", "win")).select("doc_id", "th", (F.col("start") + F.col("k")).alias("start"), "win")
+    cand = near.where("not whole").select("doc_id", "th", "start", F.posexplode(spread).alias("k", "win")).select("doc_id", "th", (F.col("start") + F.col("k")).alias("start"), "win")
     for length in short_lengths:
-        cand = cand.unionByName(h.select("doc_id", "th", F.posexplode(_windows_of(length)).alias("start", "win")))
-    return cand.join(put(wins.select("win").distinct()), "win", "left_semi")
+        cand = cand.unionByName(_hashed(docs, F.col("doc_id"), F.col("th")).select("doc_id", "th", F.posexplode(_windows_of(length)).alias("start", "win")))
+    known = wins.select("win").distinct()
+    return cand.join(F.broadcast(known) if small else known, "win", "left_semi")
 
 
 def _windows_of(length: int) -> Column:
@@ -87,8 +99,7 @@ def _windows_of(length: int) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document."""
-    dirty, rows = dirty_documents(docs, items, window, gram), whole_rows(docs)
-    base = rows.select("doc_id", "th", F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
+    dirty, base = dirty_documents(docs, items, window, gram, counted=True)
     zero, none = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
     return join_documents(base, dirty, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
@@ -98,18 +109,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    dirty, rows = dirty_documents(docs, items, window, gram), whole_rows(docs)
-    return unpacked(join_documents(rows, dirty, "left_anti"), docs.columns)
+    dirty, _ = dirty_documents(docs, items, window, gram)
+    return unpacked(join_documents(whole_rows(docs), dirty, "left_anti"), docs.columns)
 
 
-def dirty_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, th, n_hit, n_items, items_sha256) of the documents with a hit."""
+def dirty_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_hit, n_items, items_sha256) of the documents with a hit; with ``counted`` also (doc_id, th, n_words) of all."""
     docs = whole_rows(docs)
     wins = item_windows(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), window, gram)
     size, *lengths = wins.agg(F.count("*"), *(F.max(F.size("win") == n) for n in range(1, window))).first()
     small = size <= BROADCAST_WINDOWS
+    near = written(runs(docs, wins, window, gram, small, counted), "benchmark-runs")
     # few rows, used twice below
-    found = written(hits(docs, wins, window, gram, small, tuple(n for n, there in enumerate(lengths, 1) if there)).select("doc_id", "th", "start", "win"), "benchmark-hits")
+    found = written(hits(docs, near, wins, window, small, tuple(n for n, there in enumerate(lengths, 1) if there)).select("doc_id", "th", "start", "win"), "benchmark-hits")
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("win")).alias("stop"))))
     covered = F.aggregate(
         spans, F.struct(F.lit(0).alias("total"), F.lit(0).alias("end")),
@@ -123,7 +135,8 @@ def dirty_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, gra
         .agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
         .select("doc_id", "th", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     )
-    return join_documents(n_hit, ids).select("doc_id", "th", "n_hit", "n_items", "items_sha256")
+    dirty = join_documents(n_hit, ids).select("doc_id", "th", "n_hit", "n_items", "items_sha256")
+    return dirty, near.where("whole").select("doc_id", "th", F.col("start").cast("long").alias("n_words"))
 
 
 SQL = r"""
