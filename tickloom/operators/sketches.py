@@ -41,11 +41,15 @@ def observations(routed: DataFrame) -> DataFrame:
     return hashed.select("tick", "slot_id", F.inline(F.when(F.col("inbound"), inbound).otherwise(outbound))).where("sketch is not null")
 
 
+def _rank(h: Column) -> Column:
+    """1 + leading zeros of a hash's upper 22 bits."""
+    upper = F.shiftright(h, 10)
+    return F.lit(22) - reduce(add, ((upper >= 1 << k).cast("int") for k in range(1, 22)))
+
+
 def registers(seen: DataFrame, *keys: str) -> DataFrame:
-    """The largest rank in each register: 1 + leading zeros of the hash's upper 22 bits."""
-    upper = F.shiftright("h", 10)
-    rank = F.lit(22) - reduce(add, ((upper >= 1 << k).cast("int") for k in range(1, 22)))
-    return seen.groupBy(*keys, F.col("h").bitwiseAND(REGISTERS - 1).alias("idx")).agg(F.max(rank).alias("rank"))
+    """The largest rank in each register."""
+    return seen.groupBy(*keys, F.col("h").bitwiseAND(REGISTERS - 1).alias("idx")).agg(F.max(_rank(F.col("h"))).alias("rank"))
 
 
 def estimate(total: Column, used: Column) -> Column:
@@ -124,6 +128,63 @@ def port_tops(routed: DataFrame, scope: str = "window") -> DataFrame:
     return each.select("tick", "slot_id", "arm", F.col("top").alias("top_count"), "total")
 
 
+SUBNETS, TCP_PORTS, UDP_PORTS = range(len(ESTIMATES), len(ESTIMATES) + 3)
+
+
+def cells(routed: DataFrame) -> DataFrame:
+    """(tick, slot_id, what, idx, rank, n): all registers and buckets that inbound packets hit, from one pass.
+
+    ``what`` numbers ESTIMATES, then subnets and the ports of either arm.
+    """
+    on_tcp = (F.col("ip_proto") == 6) & F.col("proto_kind").isin(1, 4, 7)
+    on_udp = (F.col("ip_proto") == 17) & F.col("proto_kind").isin(2, 5, 7)
+    net = F.col("src_ip") - F.col("src_ip") % 256
+    hashed = routed.where("inbound and slot_id is not null").select(
+        "tick", "slot_id", F.when(on_tcp, 0).when(on_udp, 1).alias("arm"), F.when(F.col("proto_kind") == 7, 4).alias("other"),
+        hash32(F.col("src_ip")).alias("peer"), flow_hash(F.col("src_ip"), F.col("src_port"), F.col("dst_port")).alias("flow"), hash32(F.col("dst_port")).alias("port"),
+        bucket_hash(net, SUBNET_BUCKETS).alias("subnet"), bucket_hash(F.col("src_port"), PORT_BUCKETS).alias("from_port"),
+    )
+    ranked = hashed.select("tick", "slot_id", "arm", "other", "subnet", "from_port", *(F.col(h).bitwiseAND(REGISTERS - 1).alias(h) for h in ("peer", "flow", "port")), *(_rank(F.col(h)).alias(f"{h}_rank") for h in ("peer", "flow", "port")))
+    hit = lambda what, idx, rank=None: F.struct(what.alias("what"), F.col(idx).cast("int").alias("idx"), (F.col(f"{idx}_rank") if rank is None else rank).alias("rank"))
+    each = F.array(hit(F.lit(0), "peer"), hit(F.lit(1), "flow"), hit(F.col("arm") + 2, "flow"), hit(F.col("other"), "port"), hit(F.lit(SUBNETS), "subnet", F.lit(0)), hit(F.col("arm") + TCP_PORTS, "from_port", F.lit(0)))
+    return ranked.select("tick", "slot_id", F.inline(each)).where("what is not null").groupBy("tick", "slot_id", "what", "idx").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
+
+
+def measured(routed: DataFrame, scope: str = "window") -> DataFrame:
+    """(tick, slot_id, ...) with every sketch column of a snapshot, at ticks at which the slot saw an inbound packet.
+
+    What a tick adds to the sums, maxima and used registers is known from the cells it
+    hits; over more than one tick these additions are summed up.
+    """
+    if scope not in SCOPES:
+        raise ValueError(f"scope must be one of {SCOPES}")
+    c = cells(routed).withColumn("bank", F.col("tick") % 2 if scope == "bank" else F.lit(0))
+    weight = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+    before = Window.partitionBy("slot_id", "bank", "what", "idx").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    was = (lambda f, none: F.lit(none)) if scope == "window" else (lambda f, none: f.over(before))
+    c = c.withColumns({"rank0": was(F.max("rank"), None).cast("int"), "n0": F.coalesce(was(F.sum("n"), 0), F.lit(0))})
+    fresh = F.col("rank0").isNull()
+    total = F.when(fresh, F.pow(F.lit(2.0), -F.col("rank"))).when(F.col("rank") > F.col("rank0"), F.pow(F.lit(2.0), -F.col("rank")) - F.pow(F.lit(2.0), -F.col("rank0"))).otherwise(0.0)
+    now = F.col("n0") + F.col("n")
+    of = lambda what, x: F.when(F.col("what") == what, x)
+    sums = {f"total{k}": of(k, total) for k in range(len(ESTIMATES))} | {f"used{k}": of(k, fresh.cast("long")) for k in range(len(ESTIMATES))}
+    sums |= {f"n{k}": of(k, F.col("n")) for k in (SUBNETS, TCP_PORTS, UDP_PORTS)} | {"weighted": of(SUBNETS, weight(now) - weight(F.col("n0")))}
+    tops = {f"top{k}": of(k, now) for k in (SUBNETS, TCP_PORTS, UDP_PORTS)}
+    each = c.groupBy("tick", "slot_id", "bank").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in sums.items()), *(F.coalesce(F.max(x), F.lit(0)).alias(k) for k, x in tops.items()))
+    if scope != "window":
+        so_far = Window.partitionBy("slot_id", "bank").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+        each = each.select("tick", "slot_id", *(F.sum(k).over(so_far).alias(k) for k in sums), *(F.max(k).over(so_far).alias(k) for k in tops))
+    n = F.col(f"n{SUBNETS}")
+    return each.select(
+        "tick", "slot_id", *(estimate(F.col(f"total{k}"), F.col(f"used{k}")).alias(name) for k, name in enumerate(ESTIMATES)),
+        (F.col(f"top{SUBNETS}") / n).alias("src_24_top1_share"), (F.log2(n) - F.col("weighted") / n).alias("src_24_entropy"),
+        *(F.col(f"{x}{k}").alias(f"{arm}_cm_src_port_{name}") for arm, k in (("tcp", TCP_PORTS), ("udp", UDP_PORTS)) for x, name in (("top", "top_count"), ("n", "total"))),
+    )
+
+
+SKETCHED = [*ESTIMATES, "src_24_top1_share", "src_24_entropy", *(f"{arm}_cm_src_port_{x}" for arm in ("tcp", "udp") for x in ("top_count", "total"))]
+
+
 def _mul(a: str, b: int) -> str:
     return f"CAST((({a})::HUGEINT * {b}) % 4294967296 AS BIGINT)"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import absolute_floor
@@ -60,14 +60,13 @@ def snapshots(routed: DataFrame, slots: DataFrame, profiles: DataFrame, scope: s
     if slots.count() > BROADCAST_ROWS:
         raise ValueError("a registry has at most a few hundred slots")
     base = counters(routed)
-    est = sketches.estimates(sketches.observations(routed.where("inbound")), scope).groupBy("tick", "slot_id").pivot("sketch", sketches.ESTIMATES).agg(F.first("estimate"))
-    ports = sketches.port_tops(routed, scope).groupBy("tick", "slot_id").agg(*(F.max(F.when(F.col("arm") == a, F.col(c))).alias(f"{a}_cm_src_port_{c}") for a in ("tcp", "udp") for c in ("top_count", "total")))
     rows = spine(base, slots.select("slot_id", "target_ip", "port", "proto_kind", "is_catchall", "profile_name"))
-    for part in (base, est, sketches.subnet_shape(routed, scope), ports):
+    for part in (base, sketches.measured(routed, scope)):
         rows = rows.join(part, ["tick", "slot_id"], "left")
-    rows = rows.na.fill(0, COUNTERS).na.fill(0.0, MEASURES)
     if scope != "window":  # a published sketch stays as it was while nothing is added
-        rows = _carried(rows, scope)
+        so_far = Window.partitionBy("slot_id", F.col("tick") % 2 if scope == "bank" else F.lit(0)).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in sketches.SKETCHED})
+    rows = rows.na.fill(0, COUNTERS).na.fill(0.0, MEASURES)
     limits = F.broadcast(profiles.select(F.col("name").alias("profile_name"), "absolute_pps_threshold", "absolute_bps_threshold", "absolute_fps_threshold"))
     floor = absolute_floor(F.col("inbound_pkts"), F.col("inbound_bytes"), F.col("est_unique_flows"), *(F.coalesce(f"absolute_{x}_threshold", F.lit(0.0)) for x in ("pps", "bps", "fps")))
     full = rows.join(limits, "profile_name", "left").withColumns({
@@ -79,15 +78,6 @@ def snapshots(routed: DataFrame, slots: DataFrame, profiles: DataFrame, scope: s
     return full.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SNAPSHOTS.fields))
 
 
-def _carried(rows: DataFrame, scope: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("slot_id", F.col("tick") % 2 if scope == "bank" else F.lit(0)).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    grows = [c for c in (*sketches.ESTIMATES, "tcp_cm_src_port_top_count", "tcp_cm_src_port_total", "udp_cm_src_port_top_count", "udp_cm_src_port_total")]
-    shape = {c: F.coalesce(F.last(F.when(F.col("inbound_pkts") > 0, F.col(c)), ignorenulls=True).over(w), F.lit(0.0)) for c in ("src_24_top1_share", "src_24_entropy")}
-    return rows.withColumns({c: F.max(c).over(w) for c in grows} | shape)
-
-
 def _n(cond: str, name: str) -> str:
     return f"count(*) FILTER (WHERE {cond}) AS {name}"
 
