@@ -235,35 +235,54 @@ class Block:
         self._follow(self.word[self.number])
 
     def _follow(self, node: np.ndarray) -> None:
-        """Set each token's context, -1 for one that is not in the model."""
+        """Take the nodes of the n-grams that end at each token; sets its context, -1 for one that is not in the model."""
+        self.node = node
         self.context = np.empty_like(node)
         self.context[1:] = np.where(node[:-1] > 0, node[:-1], -1)
         self.context[self.first] = START
 
     def entries(self, level: int) -> None:
-        """The distinct n-grams whose context is in the model, in the order in which shards get them."""
+        """The distinct n-grams whose context is in the model, in the order in which shards get them.
+
+        An n-gram whose last words are too rare for this level is left out; a context with
+        no other is asked for its backoff weight alone, as if before word 0.
+        """
+        width = len(self.word) + 1
         self.asks = np.flatnonzero(self.context >= 0)
-        context, rank = distinct(self.context[self.asks])
-        code, self.entry = distinct(rank * len(self.word) + self.number[self.asks])
-        self.entry_context, self.entry_word = context[code // len(self.word)], self.word[code % len(self.word)]
-        shard = self.plan.shard(level, self.entry_context, self.entry_word)
-        kind = np.uint16 if self.plan.shards[level - 1] <= 1 << 16 else np.int64
-        self.sent = np.argsort(shard.astype(kind), kind="stable")
-        shard = shard[self.sent]
-        self.parts = np.split(self.sent, np.flatnonzero(np.diff(shard)) + 1) if len(shard) else []
+        self.contexts, self.rank = distinct(self.context[self.asks])
+        rare = level > 2 and self.plan.keep[level - 1] > 1  # nodes are numbered if they are frequent enough for this level
+        self.worth = np.flatnonzero(self.node[self.asks] > 0) if rare else np.arange(len(self.asks))
+        code, entry = distinct(self.rank[self.worth] * width + self.number[self.asks[self.worth]] + 1)
+        is_hot, _ = self.plan.hot_at(level, self.contexts)
+        bare = ~is_hot
+        bare[code // width] = False
+        bare = np.flatnonzero(bare)
+        order = np.argsort(np.concatenate([code, bare * width]), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.entry = place[entry]
+        self.entry_rank = np.concatenate([code // width, bare])[order]
+        self.entry_word = np.concatenate([self.word[code % width - 1], np.zeros(len(bare), np.int64)])[order]
+        shard = self.plan.shard(level, self.contexts[self.entry_rank], self.entry_word)
+        sent = np.argsort(shard.astype(np.uint16 if self.plan.shards[level - 1] <= 1 << 16 else np.int64), kind="stable")
+        shard = shard[sent]
+        self.parts = np.split(sent, np.flatnonzero(np.diff(shard)) + 1) if len(shard) else []
         self.part_shard = [int(x) for x in shard[np.append(True, shard[1:] != shard[:-1])]] if len(shard) else []
 
     def asked(self, level: int) -> Iterator[tuple[int, bytes]]:
-        """(shard, payload) of the n-grams of one order."""
+        """(shard, payload) of the n-grams of one order: contexts, the words and counts of each, its count in all."""
         self.entries(level)
-        count = np.bincount(self.entry[self.trained[self.asks]], minlength=len(self.entry_word))
+        trained = self.trained[self.asks]
+        count = np.bincount(self.entry[trained[self.worth]], minlength=len(self.entry_word))
+        whole = np.bincount(self.rank[trained], minlength=len(self.contexts))
         for shard, p in zip(self.part_shard, self.parts, strict=True):
             new = self.runs(p)
-            yield shard, packed(np.diff(self.entry_context[p][new], prepend=0), np.diff(np.append(new, len(p))), self.entry_word[p], count[p])
+            context = self.entry_rank[p[new]]
+            yield shard, packed(np.diff(self.contexts[context], prepend=0), np.diff(np.append(new, len(p))), self.entry_word[p], count[p], whole[context])
 
     def runs(self, p: np.ndarray) -> np.ndarray:
         """Where the contexts of a part begin."""
-        context = self.entry_context[p]
+        context = self.entry_rank[p]
         return np.flatnonzero(np.append(True, context[1:] != context[:-1]))
 
     def answered(self, level: int, answers: list[bytes]) -> None:
@@ -271,19 +290,21 @@ class Block:
         if not len(self.asks):
             self._follow(np.zeros(len(self.number), np.int64))
             return
-        node, part, rest = np.zeros(len(self.sent), np.int64), np.empty(len(self.sent), np.uint16), np.empty(len(self.sent), np.uint16)
+        node, part, rest = np.zeros(len(self.entry_word), np.int64), np.empty(len(self.entry_word), np.uint16), np.zeros(len(self.contexts), np.uint16)
         for p, shard, answer in zip(self.parts, self.part_shard, answers, strict=True):
             step, part[p], least = unpacked(answer)
-            rest[p] = np.repeat(least, np.diff(np.append(self.runs(p), len(p))))
+            rest[self.entry_rank[p[self.runs(p)]]] = least
             at = np.flatnonzero(step)
             node[p[at]] = (np.cumsum(step[at].astype(np.int64)) - 1) * self.plan.shards[level - 1] + shard + 1
         rest = probability(rest)
-        is_hot, at = self.plan.hot_at(level, self.entry_context)
+        is_hot, at = self.plan.hot_at(level, self.contexts)
         if is_hot.any():
             rest[is_hot] = self.plan.hot_rest[level - 2][at[is_hot]]
-        self.p[self.asks] = np.minimum(probability(part)[self.entry] + rest[self.entry] * self.p[self.asks], 1.0)
+        self.p[self.asks] *= rest[self.rank]
+        worth = self.asks[self.worth]
+        self.p[worth] = np.minimum(self.p[worth] + probability(part)[self.entry], 1.0)
         nodes = np.zeros(len(self.number), np.int64)
-        nodes[self.asks] = node[self.entry]
+        nodes[worth] = node[self.entry]
         self._follow(nodes)
 
     def rows(self) -> pa.RecordBatch:
@@ -341,7 +362,9 @@ def deep_level(plan: Plan, b: pa.RecordBatch, level: int, hot_least: int) -> pa.
     """Add up a shard's n-grams, write its level and answer each with its node, probability and backoff weight."""
     shard, keep = b.column(0)[0].as_py(), plan.keep[level - 1]
     got = [unpacked(x) for x in b.column(5).to_pylist()]
-    context, back = distinct(np.concatenate([np.repeat(np.cumsum(g[0].astype(np.int64)), g[1]) for g in got]))
+    context, run = distinct(np.concatenate([np.cumsum(g[0].astype(np.int64)) for g in got]))
+    whole = np.bincount(run, np.concatenate([g[4] for g in got]), len(context)).astype(np.int64)
+    back = np.repeat(run, np.concatenate([g[1] for g in got]))
     word = np.concatenate([g[2] for g in got]).astype(np.int64)
     width = int(word.max()) + 1
     if len(context) * width >= 1 << 63:
@@ -349,7 +372,6 @@ def deep_level(plan: Plan, b: pa.RecordBatch, level: int, hot_least: int) -> pa.
     key, back = distinct(back * width + word)
     n = np.bincount(back, np.concatenate([g[3] for g in got]), len(key)).astype(np.int64)
     of, word = key // width, key % width
-    whole = np.bincount(of, n, len(context))
     is_hot, at = plan.hot_at(level, context)
     if is_hot.any():
         whole = np.where(is_hot, plan.hot_count[level - 2][at], whole)
