@@ -63,8 +63,12 @@ def hash32(value: Column) -> Column:
     return k.bitwiseXOR(F.shiftright(k, 16))
 
 
+def flow_key(src_ip: Column, src_port: Column, dst_port: Column) -> Column:
+    return src_ip.cast("long").bitwiseXOR(F.shiftleft(src_port.cast("long"), 16)).bitwiseXOR(dst_port.cast("long"))
+
+
 def flow_hash(src_ip: Column, src_port: Column, dst_port: Column) -> Column:
-    return hash32(src_ip.cast("long").bitwiseXOR(F.shiftleft(src_port.cast("long"), 16)).bitwiseXOR(dst_port.cast("long")))
+    return hash32(flow_key(src_ip, src_port, dst_port))
 
 
 def bucket_hash(key: Column, width: int) -> Column:

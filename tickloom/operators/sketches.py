@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import bucket_hash, flow_hash, hash32
+from tickloom.functions.scalars import bucket_hash, flow_key, hash32
 
 REGISTERS = 1024
 SUBNET_BUCKETS, PORT_BUCKETS = 512, 256
@@ -29,16 +29,16 @@ def observations(routed: DataFrame) -> DataFrame:
     """(tick, slot_id, sketch, h): what each routed packet adds to the register sketches."""
     on_tcp = (F.col("ip_proto") == 6) & F.col("proto_kind").isin(1, 4, 7)
     on_udp = (F.col("ip_proto") == 17) & F.col("proto_kind").isin(2, 5, 7)
-    # each hash is a column of its own first: a generator would work out its common parts again and again
-    hashed = routed.where("slot_id is not null").select(
-        "tick", "slot_id", "inbound",
-        F.when(on_tcp, "est_tcp_new_flows").when(on_udp, "est_udp_flows").alias("arm"), (F.col("proto_kind") == 7).alias("other"), (F.col("dst_port") != 0).alias("ported"),
-        hash32(F.when(F.col("inbound"), F.col("src_ip")).otherwise(F.col("dst_ip"))).alias("peer"), flow_hash(F.col("src_ip"), F.col("src_port"), F.col("dst_port")).alias("flow"), hash32(F.col("dst_port")).alias("port"),
+    # keys are hashed after they are dealt out: a generator would work out a hash's common parts again and again
+    keys = routed.where("slot_id is not null").select(
+        "tick", "slot_id", "inbound", F.when(on_tcp, "est_tcp_new_flows").when(on_udp, "est_udp_flows").alias("arm"), (F.col("proto_kind") == 7).alias("other"), (F.col("dst_port") != 0).alias("ported"),
+        F.when(F.col("inbound"), F.col("src_ip")).otherwise(F.col("dst_ip")).alias("peer"), flow_key(F.col("src_ip"), F.col("src_port"), F.col("dst_port")).alias("flow"), "dst_port",
     )
-    seen = lambda sketch, h: F.struct(sketch.alias("sketch"), F.col(h).alias("h"))
-    inbound = F.array(seen(F.lit("est_unique_src_ips"), "peer"), seen(F.lit("est_unique_flows"), "flow"), seen(F.col("arm"), "flow"), seen(F.when(F.col("other"), "est_other_dst_ports"), "port"))
-    outbound = F.array(seen(F.lit("out_dst_ips"), "peer"), seen(F.when(F.col("ported"), "out_dst_ports"), "port"))
-    return hashed.select("tick", "slot_id", F.inline(F.when(F.col("inbound"), inbound).otherwise(outbound))).where("sketch is not null")
+    seen = lambda sketch, key: F.struct(sketch.alias("sketch"), F.col(key).cast("long").alias("key"))
+    inbound = F.array(seen(F.lit("est_unique_src_ips"), "peer"), seen(F.lit("est_unique_flows"), "flow"), seen(F.col("arm"), "flow"), seen(F.when(F.col("other"), "est_other_dst_ports"), "dst_port"))
+    outbound = F.array(seen(F.lit("out_dst_ips"), "peer"), seen(F.when(F.col("ported"), "out_dst_ports"), "dst_port"))
+    each = keys.select("tick", "slot_id", F.inline(F.when(F.col("inbound"), inbound).otherwise(outbound))).where("sketch is not null")
+    return each.select("tick", "slot_id", "sketch", hash32(F.col("key")).alias("h"))
 
 
 def _rank(h: Column) -> Column:
@@ -138,16 +138,18 @@ def cells(routed: DataFrame) -> DataFrame:
     """
     on_tcp = (F.col("ip_proto") == 6) & F.col("proto_kind").isin(1, 4, 7)
     on_udp = (F.col("ip_proto") == 17) & F.col("proto_kind").isin(2, 5, 7)
-    net = F.col("src_ip") - F.col("src_ip") % 256
-    hashed = routed.where("inbound and slot_id is not null").select(
-        "tick", "slot_id", F.when(on_tcp, 0).when(on_udp, 1).alias("arm"), F.when(F.col("proto_kind") == 7, 4).alias("other"),
-        hash32(F.col("src_ip")).alias("peer"), flow_hash(F.col("src_ip"), F.col("src_port"), F.col("dst_port")).alias("flow"), hash32(F.col("dst_port")).alias("port"),
-        bucket_hash(net, SUBNET_BUCKETS).alias("subnet"), bucket_hash(F.col("src_port"), PORT_BUCKETS).alias("from_port"),
+    arm = F.when(on_tcp, 0).when(on_udp, 1)
+    keys = routed.where("inbound and slot_id is not null").select("tick", "slot_id", "src_ip", "src_port", "dst_port", arm.alias("arm"), F.when(F.col("proto_kind") == 7, 4).alias("other"), flow_key(F.col("src_ip"), F.col("src_port"), F.col("dst_port")).alias("flow"))
+    add_to = lambda what, key: F.struct(what.alias("what"), key.cast("long").alias("key"))
+    each = F.array(
+        add_to(F.lit(0), F.col("src_ip")), add_to(F.lit(1), F.col("flow")), add_to(F.col("arm") + 2, F.col("flow")), add_to(F.col("other"), F.col("dst_port")),
+        add_to(F.lit(SUBNETS), F.col("src_ip") - F.col("src_ip") % 256), add_to(F.col("arm") + TCP_PORTS, F.col("src_port")),
     )
-    ranked = hashed.select("tick", "slot_id", "arm", "other", "subnet", "from_port", *(F.col(h).bitwiseAND(REGISTERS - 1).alias(h) for h in ("peer", "flow", "port")), *(_rank(F.col(h)).alias(f"{h}_rank") for h in ("peer", "flow", "port")))
-    hit = lambda what, idx, rank=None: F.struct(what.alias("what"), F.col(idx).cast("int").alias("idx"), (F.col(f"{idx}_rank") if rank is None else rank).alias("rank"))
-    each = F.array(hit(F.lit(0), "peer"), hit(F.lit(1), "flow"), hit(F.col("arm") + 2, "flow"), hit(F.col("other"), "port"), hit(F.lit(SUBNETS), "subnet", F.lit(0)), hit(F.col("arm") + TCP_PORTS, "from_port", F.lit(0)))
-    return ranked.select("tick", "slot_id", F.inline(each)).where("what is not null").groupBy("tick", "slot_id", "what", "idx").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
+    # keys are hashed after they are dealt out: one hash in the code instead of six keeps it small enough to be compiled
+    hit = keys.select("tick", "slot_id", F.inline(each)).where("what is not null").withColumn("h", hash32(F.col("key")))
+    bucket = F.when(F.col("what") < SUBNETS, F.col("h").bitwiseAND(REGISTERS - 1)).when(F.col("what") == SUBNETS, bucket_hash(F.col("key"), SUBNET_BUCKETS)).otherwise(bucket_hash(F.col("key"), PORT_BUCKETS))
+    ranked = hit.select("tick", "slot_id", "what", bucket.cast("int").alias("idx"), _rank(F.col("h")).alias("rank"))
+    return ranked.groupBy("tick", "slot_id", "what", "idx").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
 
 
 def measured(routed: DataFrame, scope: str = "window") -> DataFrame:
