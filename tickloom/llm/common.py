@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +28,34 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 BATCH_BYTES = 16 << 20
 
 
+@lru_cache(1)
+def _allocator() -> ctypes.CDLL | None:
+    """The C library's allocator, told to give every array of a megabyte or more back to the system when it is freed."""
+    library = ctypes.CDLL(None)
+    if not hasattr(library, "mallopt") or not hasattr(library, "malloc_trim"):
+        return None
+    library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+    return library
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    if library := _allocator():
+        library.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with this package on the executors and batches of bounded size, which is a setting of the session."""
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def bytes_list(column: pa.Array) -> list[bytes | None]:
