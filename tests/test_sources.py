@@ -103,7 +103,7 @@ def test_registry_rules(spark, rule, change):
 
 def test_registry_strict(spark):
     found = registry.violations(load(spark, lambda d: d.update(learning_mode=True)), "strict_v1").collect()
-    assert {r.rule for r in found} == {"L4", "L13"} and sum(r.rule == "L4" for r in found) == 3
+    assert {r.rule for r in found} == {"L4", "L12", "L13"} and sum(r.rule == "L4" for r in found) == 3 and "learning_mode" in {r.path for r in found}
 
 
 def test_migration_from_c(spark):
@@ -214,3 +214,43 @@ def test_commands_and_reload(spark):
 
     s = spark.createDataFrame([(1, 80, 1, step.dumped(step.fresh(step.DEFAULT_PROFILE)))], "target_ip long, port int, proto_kind int, state string")
     assert commands.slot_info(s).first().warmup_remaining == 400
+
+
+def strict_profile():
+    p: dict = {}
+    for section, keys in [*registry.WEIGHTS.items(), *registry.PROBABILITIES.items()]:
+        at = p
+        for part in section.split("."):
+            at = at.setdefault(part, {})
+        at.update(dict.fromkeys(keys, 0.5))
+    return p
+
+
+def test_strict_documents(spark):
+    def whole(d):
+        d.update(metadata={}, profiles={"default": strict_profile(), "strict_web": strict_profile()})
+        d["catchall_assignments"] = {ip: dict.fromkeys(registry.FAMILIES, "default") for ip in d["protected_ips"]}
+
+    assert registry.violations(load(spark, whole), "strict_v1").count() == 0
+
+    def broken(change):
+        def both(d):
+            whole(d)
+            change(d)
+
+        return {(r.rule, r.path) for r in registry.violations(load(spark, both), "strict_v1").collect()}
+
+    assert broken(lambda d: d["profiles"]["default"]["tier1_l3"]["weights"].pop("src_24_entropy")) == {("L12", "default.tier1_l3.weights.src_24_entropy")}
+    assert broken(lambda d: d["profiles"]["default"]["tier1"].update(normal_threshold=1.5)) == {("L12", "default.tier1.normal_threshold")}
+    assert broken(lambda d: d["profiles"]["default"]["v2_feature_weights"].update(new_flow_ratio=-0.5)) >= {("L12", "default.v2_feature_weights.new_flow_ratio")}
+    assert broken(lambda d: d["profiles"]["default"].update(alpha=0.1)) == {("L13", "default.alpha")}
+    assert broken(lambda d: d["services"][0].update(color="red")) == {("L13", "services[0].color")}
+    assert ("L10", "services") in broken(lambda d: d["services"].append({"name": "r", "target_ip": "192.0.2.1", "port_range": "1000-1318", "proto": "TCP", "profile": "default"}))
+
+
+def test_dashboard_actions():
+    from tickloom import commands
+
+    assert commands.permitted("ping") == "ping" and len(commands.DASHBOARD_ACTIONS) == 10
+    with pytest.raises(PermissionError):
+        commands.permitted("request_reload")

@@ -18,6 +18,15 @@ from tickloom.sources import registry
 
 #: Actions on a slot's state; set_learning_mode is a parameter of ``detect.detected``, checkpoints are ``detect.states``.
 ACTIONS = step.COMMANDS
+# What a dashboard may ask for; reloads are not among it.
+DASHBOARD_ACTIONS = ("ping", "engine_pid", "slot_info", "force_ewma_freeze", "force_attack_freeze", "release_freezes", "reset_transient", "set_learning_mode", "save_checkpoint", "load_checkpoint")
+
+
+def permitted(action: str) -> str:
+    """The action, if a dashboard may ask for it; others raise PermissionError."""
+    if action not in DASHBOARD_ACTIONS:
+        raise PermissionError(f"action not allowed: {action!r}")
+    return action
 
 
 def request(spark: SparkSession, tick: int, target_ip: int, port: int, proto_kind: int, action: str, args: dict | None = None) -> DataFrame:

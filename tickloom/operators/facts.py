@@ -52,6 +52,12 @@ def transitions(stats: DataFrame) -> DataFrame:
     return t.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSITIONS.fields))
 
 
+def dated(rows: DataFrame) -> DataFrame:
+    """Rows with the second and the day of their ``timestamp_ns``, by which tables are filtered and partitioned."""
+    at = seconds_of(F.col("timestamp_ns"))
+    return rows.withColumns({"timestamp_dt": at, "event_date": F.to_date(at)})
+
+
 def temporal_rows(stats: DataFrame) -> DataFrame:
     """Three rows for each window's three rolling totals."""
     each = F.array(*(F.struct(F.lit(n).alias("window_seconds"), *(F.col(f"win_{n}s_{c}").alias(c) for c in ("total_pkts", "peak_pps", "attack_seconds"))) for n in WINDOWS))

@@ -19,6 +19,7 @@ from tickloom.schemas import PHASES
 
 FRESH_S, RECENT_S, DEGRADED_S = 60, 60, 300
 NEWEST = F.struct  # (timestamp_ns, sequence_num) orders a slot's rows without ties
+# The columns of a slot's series, as its readers expect them.
 SERIES = [
     "inbound_pkts", "inbound_bytes", "unique_flows", "out_pkts", "out_bytes", "ip_frag_pkts", "off_proto_pkts", "tcp_pkts", "tcp_bytes", "syn_pkts", "syn_ack_pkts", "fin_ack_pkts",
     "rst_pkts", "ack_data_pkts", "empty_ack_pkts", "zero_window_pkts", "udp_pkts", "udp_bytes", "icmp_pkts", "unique_src_ips", "src_24_top1_share", "src_24_entropy", "ttl_mean", "ttl_stddev",
@@ -38,6 +39,12 @@ def since(as_of: dt.datetime, seconds: float, column: str = "timestamp_dt", stri
     return cond & F.col(day).between(F.lit(start.date()), F.lit(as_of.date())) if day else cond
 
 
+def newest_day(rows: DataFrame) -> DataFrame:
+    """The rows of the newest day: the only folder that a search for the newest row has to open."""
+    day = rows.agg(F.max("event_date").alias("d")).first()["d"]  # of a partitioned table, its folders' names
+    return rows.where(F.col("event_date") == F.lit(day)) if day else rows
+
+
 def latest(stats: DataFrame, columns: list[str], by: tuple[str, ...] = ("slot_id",)) -> DataFrame:
     """The newest row's columns for each slot."""
     row = F.max_by(F.struct(*columns), F.struct("timestamp_ns", "sequence_num"))
@@ -59,9 +66,9 @@ def top_slots(stats: DataFrame, as_of: dt.datetime, n: int = 5) -> DataFrame:
 
 def overview(stats: DataFrame, transitions: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row: the latest moment, phase counts, recent transitions and the top slots as JSON."""
-    head = stats.where(F.col("timestamp_dt") <= F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")).agg(F.max("timestamp_dt").alias("latest_timestamp"))
+    head = newest_day(stats.where((F.col("timestamp_dt") <= F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")) & (F.col("event_date") <= F.lit(as_of.date())))).agg(F.max("timestamp_dt").alias("latest_timestamp"))
     counts = phase_counts(stats, as_of).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase_str", "n")))).alias("phase_counts"))
-    recent = transitions.where(since(as_of, RECENT_S, day=None)).agg(F.count("*").alias("transitions_recent"))
+    recent = transitions.where(since(as_of, RECENT_S)).agg(F.count("*").alias("transitions_recent"))
     top = top_slots(stats, as_of).agg(F.to_json(F.sort_array(F.collect_list(F.struct("tier1_final_score", "slot_id", "target_ip_str", "port", "proto_kind_str", "phase_str", "tier0_score")), asc=False)).alias("top_slots"))
     return head.crossJoin(counts).crossJoin(recent).crossJoin(top)  # one row each
 
@@ -84,7 +91,21 @@ def timeseries(stats: DataFrame, slot_id: int, as_of: dt.datetime, window: int =
 
 
 def registry_audit(events: DataFrame, limit: int = 50) -> DataFrame:
-    return events.drop("services_json_sha256").orderBy(F.desc("timestamp_dt")).limit(clamped(limit, 1, 500))
+    """Reloads, newest first; those of one second by all their columns."""
+    rows = events.drop("services_json_sha256", "event_date")
+    return rows.orderBy(F.desc("timestamp_dt"), *(c for c in rows.columns if c != "timestamp_dt")).limit(clamped(limit, 1, 500))
+
+
+def registry_history(events: DataFrame, limit: int = 10) -> DataFrame:
+    """When the registry changed last, and how many slots it defined."""
+    rows = events.select("timestamp_dt", "n_total_slots", "event_type", "source_path")
+    return rows.orderBy(F.desc("timestamp_dt"), "n_total_slots", "event_type", "source_path").limit(limit)
+
+
+def registry_content(slot_rows: DataFrame, profile_rows: DataFrame) -> DataFrame:
+    """Every slot of a registry document with the knobs of its profile, in the order of its slots."""
+    p = profile_rows.withColumnRenamed("name", "profile_name")
+    return slot_rows.join(F.broadcast(p), "profile_name", "left").select(*slot_rows.columns, *(c for c in p.columns if c != "profile_name")).orderBy("slot_id")  # a few hundred rows
 
 
 def alerts(transitions: DataFrame, limit: int = 100) -> DataFrame:
@@ -122,7 +143,7 @@ def audit(transitions: DataFrame, admin: DataFrame, registry: DataFrame, annotat
 
 def system_health(stats: DataFrame, registry: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row: age of the newest row, its display and the last reload."""
-    age = stats.agg((F.lit(int(as_of.timestamp())) - F.unix_timestamp(F.max("timestamp_dt"))).alias("age_seconds"))
+    age = newest_day(stats).agg((F.lit(int(as_of.timestamp())) - F.unix_timestamp(F.max("timestamp_dt"))).alias("age_seconds"))
     last = registry.agg(F.max_by(F.struct("event_type", "timestamp_dt"), F.struct("timestamp_dt", "event_type")).alias("r"))
     return age.withColumn("age", format_age(F.col("age_seconds"))).crossJoin(last).select("age_seconds", "age", F.col("r.event_type").alias("last_event"), F.col("r.timestamp_dt").alias("last_event_at"))
 
@@ -133,7 +154,7 @@ def system_slots(stats: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 def health(stats: DataFrame, as_of: dt.datetime, degraded_s: int = DEGRADED_S) -> DataFrame:
     """One row: ok, or degraded if the table is empty or its newest row too old."""
-    newest = stats.agg(F.max("timestamp_dt").alias("latest"), F.count("*").alias("rows"))
+    newest = newest_day(stats).agg(F.max("timestamp_dt").alias("latest")).crossJoin(stats.agg(F.count("*").alias("rows")))  # one row each
     age = F.lit(int(as_of.timestamp())) - F.unix_timestamp("latest")
     return newest.select(F.when(F.col("latest").isNull() | (age > degraded_s), "degraded").otherwise("ok").alias("status"), age.alias("age_seconds"), "rows")
 
@@ -151,7 +172,7 @@ def top_ips(stats: DataFrame, as_of: dt.datetime, seconds: int = 3600, n: int =
 
 def transition_history(transitions: DataFrame, target_ip: int, as_of: dt.datetime, seconds: int = 86400) -> DataFrame:
     columns = ["timestamp_dt", "slot_id", "port", "proto_kind", "from_phase_str", "to_phase_str", "tier0_score", "tier1_final_score", "attack_evidence"]
-    return transitions.where(F.col("target_ip") == target_ip).where(since(as_of, seconds, strict=True, day=None)).select(*columns).orderBy("timestamp_dt", "slot_id")
+    return transitions.where(F.col("target_ip") == target_ip).where(since(as_of, seconds, strict=True)).select(*columns).orderBy("timestamp_dt", "slot_id")
 
 
 def score_buckets(stats: DataFrame, as_of: dt.datetime, seconds: int = 6 * 3600, width: str = "10 minutes") -> DataFrame:
@@ -160,12 +181,12 @@ def score_buckets(stats: DataFrame, as_of: dt.datetime, seconds: int = 6 * 3600,
 
 
 def hour_peaks(temporal: DataFrame, as_of: dt.datetime, seconds: int = 3600, window_seconds: int = 60, n: int = 20) -> DataFrame:
-    t = temporal.where(F.col("window_seconds") == window_seconds).where(since(as_of, seconds, strict=True, day=None))
+    t = temporal.where(F.col("window_seconds") == window_seconds).where(since(as_of, seconds, strict=True))
     return t.groupBy("target_ip_str", "port").agg(F.max("peak_pps").alias("hour_peak_pps")).orderBy(F.desc("hour_peak_pps"), "target_ip_str", "port").limit(n)
 
 
 def reload_audit(registry: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
-    r = registry.where(since(as_of, days * 86400, strict=True, day=None))
+    r = registry.where(since(as_of, days * 86400, strict=True))
     return r.select("timestamp_dt", "event_type", "source_path", "n_total_slots", "reload_count", "reload_failures", "error_message").orderBy(F.desc("timestamp_dt"))
 
 
@@ -183,7 +204,7 @@ def top_scores(stats: DataFrame, as_of: dt.datetime, seconds: int = 300, n: int
 
 
 def recent_transitions(transitions: DataFrame, as_of: dt.datetime, seconds: int = 3600, limit: int = 50) -> DataFrame:
-    return transitions.where(since(as_of, seconds, day=None)).orderBy(F.desc("timestamp_ns"), "slot_id").limit(limit)
+    return transitions.where(since(as_of, seconds)).orderBy(F.desc("timestamp_ns"), "slot_id").limit(limit)
 
 
 def rows_per_minute(stats: DataFrame, as_of: dt.datetime, seconds: int = 3600) -> DataFrame:
@@ -192,7 +213,7 @@ def rows_per_minute(stats: DataFrame, as_of: dt.datetime, seconds: int = 3600) -
 
 def staleness(stats: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Seconds since the newest row, not below 0."""
-    return stats.agg(F.greatest(F.lit(0).cast("long"), F.lit(int(as_of.timestamp())) - F.unix_timestamp(F.max("timestamp_dt"))).alias("stale_seconds"))
+    return newest_day(stats).agg(F.greatest(F.lit(0).cast("long"), F.lit(int(as_of.timestamp())) - F.unix_timestamp(F.max("timestamp_dt"))).alias("stale_seconds"))
 
 
 def distinct_slots(stats: DataFrame, as_of: dt.datetime, seconds: int = 300) -> DataFrame:
@@ -203,7 +224,8 @@ def outage(stats: DataFrame, first: dt.datetime, last: dt.datetime) -> DataFrame
     """Minutes without a row between two moments."""
     span = F.sequence(*(F.lit(x.strftime("%Y-%m-%d %H:%M:00")).cast("timestamp") for x in (first, last)), F.expr("interval 1 minute"))
     every = stats.sparkSession.range(1).select(F.explode(span).alias("minute"))
-    return every.join(stats.select(F.date_trunc("minute", "timestamp_dt").alias("minute")).distinct(), "minute", "left_anti").orderBy("minute")
+    seen = stats.where(since(last + dt.timedelta(minutes=1), (last - first).total_seconds() + 120))
+    return every.join(seen.select(F.date_trunc("minute", "timestamp_dt").alias("minute")).distinct(), "minute", "left_anti").orderBy("minute")
 
 
 def chart(stats: DataFrame, slot_id: int, as_of: dt.datetime, window: int = 300, points: int = 60) -> DataFrame:

@@ -143,10 +143,22 @@ def query(name: str, sql: str | None = None):
 
 # --- scans, registry, validation ---------------------------------------------
 
-_REGISTRY_SQL = f"""
-SELECT * FROM (VALUES (0, {SERVICE_IP}, 0, 4, 1, 'default'), (1, {SERVICE_IP}, 0, 5, 1, 'default'), (2, {SERVICE_IP}, 0, 6, 1, 'default'), (3, {SERVICE_IP}, 0, 7, 1, 'default'),
-  (4, {SERVICE_IP + 1}, 0, 7, 1, 'default'), (5, {SERVICE_IP}, 443, 1, 0, 'strict_web'), (6, {SERVICE_IP}, 53, 2, 0, 'default')) t(slot_id, target_ip, port, proto_kind, is_catchall, profile_name)
-"""
+_DOC = f"WITH doc AS (SELECT '{REGISTRY_JSON}'::JSON AS j)"
+#: Slots and profiles read off the document's own text.
+_REGISTRY_SQL = f"""{_DOC}, ca AS (
+  SELECT a, json_keys(j->'catchall_assignments')[a] AS ip, b, ['tcp', 'udp', 'icmp', 'other'][b] AS family, j FROM doc, (SELECT unnest(range(1, 100)) AS a), (SELECT unnest([1, 2, 3, 4]) AS b)
+  WHERE a <= len(json_keys(j->'catchall_assignments'))
+), every AS (
+  SELECT 0 AS part, a * 4 + b AS n, ip, 0 AS port, b + 3 AS kind, 1 AS is_catchall, (j->'catchall_assignments'->ip)->>family AS profile FROM ca WHERE (j->'catchall_assignments'->ip)->>family IS NOT NULL
+  UNION ALL
+  SELECT 1, k, j->'services'->k->>'target_ip', CAST(j->'services'->k->>'port' AS INTEGER), list_position(['TCP', 'UDP', 'ICMP'], j->'services'->k->>'proto'), 0, j->'services'->k->>'profile'
+  FROM doc, (SELECT unnest(range(0, 100))::INTEGER AS k) WHERE k < json_array_length(j->'services')
+)
+SELECT CAST(row_number() OVER (ORDER BY part, n) - 1 AS INTEGER) AS slot_id, list_sum(list_transform(string_split(ip, '.'), lambda x, i: CAST(x AS BIGINT) << (8 * (4 - i))))::BIGINT AS target_ip, port::INTEGER AS port, kind::INTEGER AS proto_kind, is_catchall, profile AS profile_name FROM every"""
+_KNOB = lambda k, default: f"coalesce(CASE WHEN CAST(p->>'{k}' AS DOUBLE) > 0 THEN CAST(p->>'{k}' AS DOUBLE) END, {default})"
+_PROFILES_SQL = f"""{_DOC}, names AS (SELECT unnest(json_keys(j->'profiles')) AS name, j FROM doc), ps AS (SELECT name, j->'profiles'->name AS p FROM names)
+SELECT name, {_KNOB('alpha', 0.05)}::DOUBLE AS alpha, {_KNOB('variance_ceiling_factor', 6.0)}::DOUBLE AS variance_ceiling, {_KNOB('absolute_pps_threshold', 0.0)}::DOUBLE AS absolute_pps_threshold,
+  {_KNOB('baseline_freeze_windows', 60)}::INTEGER AS baseline_freeze_windows, {_KNOB('thaw_cooldown_windows', 30)}::INTEGER AS thaw_cooldown_windows, {_KNOB('warmup_windows', 400)}::INTEGER AS warmup_windows, coalesce(p->>'fix_fps_source', 'false') = 'true' AS fix_fps_source FROM ps"""
 
 
 @query("registry_slots", _REGISTRY_SQL)
@@ -154,7 +166,7 @@ def registry_slots(spark, d):
     return _slots(spark).select("slot_id", "target_ip", "port", "proto_kind", "is_catchall", "profile_name")
 
 
-@query("registry_profiles", "SELECT * FROM (VALUES ('default', 0.05::DOUBLE, 6.0::DOUBLE, 0.0::DOUBLE, 8, 6, 20, false), ('strict_web', 0.1, 6.0, 400.0, 8, 6, 20, false)) t(name, alpha, variance_ceiling, absolute_pps_threshold, baseline_freeze_windows, thaw_cooldown_windows, warmup_windows, fix_fps_source)")
+@query("registry_profiles", _PROFILES_SQL)
 def registry_profiles(spark, d):
     return registry.profiles(_document(spark)).select("name", "alpha", "variance_ceiling", "absolute_pps_threshold", "baseline_freeze_windows", "thaw_cooldown_windows", "warmup_windows", "fix_fps_source")
 
@@ -167,16 +179,57 @@ _BAD_JSON = (
 )
 
 
-@query("registry_violations", """SELECT * FROM (VALUES ('L1', 1::BIGINT), ('L2', 1), ('L3', 1), ('L4', 6), ('L5', 1), ('L6', 1), ('L7', 1), ('L8', 1), ('L9', 4), ('L11', 1), ('L12', 2), ('L13', 1)) t(rule, n)""")
+_WEIGHT_PATHS = [f"{a}.{k}" for a, ks in registry.WEIGHTS.items() for k in ks]
+_PROBABILITY_PATHS = [f"{a}.{k}" for a, ks in registry.PROBABILITIES.items() for k in ks]
+
+
+def _violations_sql(text: str) -> str:
+    """How often each strict rule is broken, by JSON functions."""
+    keys = lambda names: f"{list(names)!r}"
+    rules = {
+        "L1": "SELECT 1 FROM doc WHERE coalesce(CAST(j->>'version' AS INTEGER), 0) <> 1",
+        "L2": "SELECT 1 FROM svc WHERE ip NOT IN (SELECT ip FROM ips)",
+        "L3": "SELECT 1 FROM svc WHERE profile NOT IN (SELECT profile FROM prof)",
+        "L4": "SELECT 1 FROM ips, (SELECT unnest(['tcp', 'udp', 'icmp', 'other']) AS family) f WHERE (ips.ip, f.family) NOT IN (SELECT (ip, family) FROM ca)",
+        "L5": "SELECT DISTINCT ip FROM ca WHERE ip NOT IN (SELECT ip FROM ips)",
+        "L6": "SELECT 1 FROM ca WHERE profile NOT IN (SELECT profile FROM prof)",
+        "L7": "SELECT 1 FROM (SELECT ip, port, kind FROM slot UNION ALL SELECT ip, 0, list_position(['tcp', 'udp', 'icmp', 'other'], family) + 3 FROM ca) GROUP BY ip, port, kind HAVING count(*) > 1",
+        "L8": "SELECT 1 FROM svc WHERE kind IS NULL",
+        "L9": "SELECT 1 FROM svc WHERE (port IS NULL) = (port_range IS NULL) UNION ALL SELECT 1 FROM svc WHERE port < 0 OR port > 65535 UNION ALL SELECT 1 FROM svc WHERE port_range IS NOT NULL AND (low IS NULL OR low < 1 OR high > 65535 OR low > high) UNION ALL SELECT 1 FROM svc WHERE kind = 3 AND coalesce(port, 0) <> 0 UNION ALL SELECT 1 FROM svc WHERE kind IN (1, 2) AND port = 0",
+        "L10": f"SELECT 1 FROM (SELECT count(*) AS n FROM slot) WHERE n + 4 * (SELECT count(*) FROM ips) > {schemas.MAX_SLOTS}",
+        "L11": "SELECT 1 FROM ips WHERE NOT regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')",
+        "L12": f"""SELECT 1 FROM prof, (SELECT unnest({keys(_WEIGHT_PATHS + _PROBABILITY_PATHS)}) AS w) WHERE coalesce(TRY_CAST(json_extract_string(p, '$.' || w) AS DOUBLE), -1) < 0 OR (w IN {tuple(_PROBABILITY_PATHS)} AND TRY_CAST(json_extract_string(p, '$.' || w) AS DOUBLE) > 1)
+            UNION ALL SELECT 1 FROM flat WHERE section LIKE '%weights' AND coalesce(TRY_CAST(v AS DOUBLE), -1) < 0 UNION ALL SELECT 1 FROM flat WHERE section = 'thresholds' AND (coalesce(TRY_CAST(v AS DOUBLE), -1) < 0 OR TRY_CAST(v AS DOUBLE) > 1)""",
+        "L13": f"SELECT 1 FROM (SELECT unnest(json_keys(j)) AS k FROM doc) WHERE k NOT IN {tuple(registry.TOP_KEYS)} UNION ALL SELECT 1 FROM (SELECT unnest(json_keys(p)) AS k FROM prof) WHERE k NOT IN {tuple(registry.PROFILE_KEYS)} UNION ALL SELECT 1 FROM (SELECT unnest(json_keys(s)) AS k FROM svc) WHERE k NOT IN {tuple(registry.SERVICE_KEYS)}",
+    }
+    return f"""WITH doc AS (SELECT '{text}'::JSON AS j),
+  ips AS (SELECT unnest(CAST(j->'protected_ips' AS VARCHAR[])) AS ip FROM doc),
+  prof AS (SELECT profile, j->'profiles'->profile AS p FROM (SELECT unnest(json_keys(j->'profiles')) AS profile, j FROM doc)),
+  flat AS (SELECT section, (p->section)->>k AS v FROM (SELECT section, p, unnest(json_keys(p->section)) AS k FROM (SELECT unnest(json_keys(p)) AS section, p FROM prof))),
+  ca AS (SELECT ip, family, m->>family AS profile FROM (SELECT ip, m, unnest(json_keys(m)) AS family FROM (SELECT ip, j->'catchall_assignments'->ip AS m FROM (SELECT unnest(json_keys(j->'catchall_assignments')) AS ip, j FROM doc)))),
+  svc AS (SELECT s, s->>'target_ip' AS ip, s->>'profile' AS profile, CAST(s->>'port' AS INTEGER) AS port, s->>'port_range' AS port_range, list_position(['TCP', 'UDP', 'ICMP'], s->>'proto') AS kind,
+    TRY_CAST(split_part(s->>'port_range', '-', 1) AS INTEGER) AS low, TRY_CAST(split_part(s->>'port_range', '-', 2) AS INTEGER) AS high FROM (SELECT unnest(CAST(j->'services' AS JSON[])) AS s FROM doc)),
+  slot AS (SELECT ip, kind, unnest(CASE WHEN low IS NOT NULL AND high >= low AND high <= 65535 THEN range(low, high + 1) ELSE [coalesce(port, 0)] END) AS port FROM svc)
+SELECT * FROM (""" + " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*)::BIGINT AS n FROM ({sql})" for rule, sql in rules.items()) + ") WHERE n > 0"
+
+
+@query("registry_violations", _violations_sql(_BAD_JSON))
 def registry_violations(spark, d):
     return registry.violations(registry.document(spark, _BAD_JSON), "strict_v1").groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("registry_valid", "SELECT 0::BIGINT AS n")
+@query("registry_valid", f"SELECT coalesce(CAST(sum(n) AS BIGINT), 0) AS n FROM ({_violations_sql(REGISTRY_JSON)}) WHERE rule NOT IN ('L4', 'L12', 'L13')")
 def registry_valid(spark, d):
     return registry.violations(_document(spark), "engine").agg(F.count("*").alias("n"))
 
 
+@query("k05_registry_content", f"SELECT s.*, alpha, variance_ceiling, absolute_pps_threshold, baseline_freeze_windows, thaw_cooldown_windows, warmup_windows, fix_fps_source FROM ({_REGISTRY_SQL}) s LEFT JOIN ({_PROFILES_SQL}) p ON p.name = s.profile_name")
+def k05_registry_content(spark, d):
+    doc = _document(spark)
+    every = catalogue.registry_content(registry.slots(doc), registry.profiles(doc))
+    return every.drop("name", "detection_enabled", "absolute_bps_threshold", "absolute_fps_threshold", "fix_frag_zscore")
+
+
 _FRAME_FIELDS = ["src_ip", "dst_ip", "total_len", "ttl", "frag_off", "src_port", "dst_port", "icmp_type"]
 _TCP_FIELDS = ["tcp_flags", "tcp_data_off_bytes", "tcp_win"]
 
@@ -223,7 +276,7 @@ def tick_moments(spark, d):
     return ticks.counters(_routed(spark, d)).select("tick", "slot_id", *(F.round(c, 4).alias(c) for c in _MOMENTS))
 
 
-@query("tick_protocols", f"{_ROUTED} SELECT tick, slot_id, count(*) AS n, 47 AS proto FROM routed WHERE inbound AND proto_kind = 7 AND ip_proto NOT IN (6, 17, 1) GROUP BY tick, slot_id")
+@query("tick_protocols", f"{_ROUTED} SELECT tick, slot_id, count(*) AS n, ip_proto AS proto FROM routed WHERE inbound AND proto_kind = 7 AND ip_proto NOT IN (6, 17, 1) GROUP BY tick, slot_id, ip_proto")
 def tick_protocols(spark, d):
     return ticks.protocol_counts(_routed(spark, d)).select("tick", "slot_id", F.explode("counts").alias("proto", "n"))
 
@@ -405,10 +458,14 @@ def k01_top_slots(spark, d):
     return catalogue.top_slots(_stats(spark, d), AS_OF)
 
 
-@query("k01_overview")
+@query("k01_overview", f"""{_TRANS}, l AS (SELECT * FROM stats WHERE {_since(60)} {_LATEST}), t AS (SELECT * FROM l WHERE phase_str <> 'WARMUP' ORDER BY tier1_final_score DESC, slot_id LIMIT 5)
+  SELECT (SELECT max(ts) FROM stats WHERE ts <= {AS_OF_S}) AS latest_timestamp, (SELECT count(*) FROM transitions WHERE {_since(60)}) AS transitions_recent,
+    {', '.join(f"(SELECT count(*) FROM l WHERE phase_str = '{p}') AS n_{p.lower()}" for p in schemas.PHASES)}, (SELECT string_agg(slot_id, ',' ORDER BY tier1_final_score DESC, slot_id DESC) FROM t) AS top_slots""")
 def k01_overview(spark, d):
     s = _stats(spark, d)
-    return catalogue.overview(s, facts.transitions(s).withColumn("timestamp_dt", scalars.seconds_of(F.col("timestamp_ns"))), AS_OF)
+    o = catalogue.overview(s, facts.dated(facts.transitions(s)), AS_OF)
+    top = F.array_join(F.transform(F.from_json("top_slots", "array<struct<slot_id int>>"), lambda x: x["slot_id"].cast("string")), ",")
+    return o.select("latest_timestamp", "transitions_recent", *(F.col("phase_counts")[p].alias(f"n_{p.lower()}") for p in schemas.PHASES), top.alias("top_slots"))
 
 
 @query("k02_services", f"{_STATS} SELECT slot_id, target_ip_str, port, proto_kind_str, is_catchall, profile_name, phase_str, warmup_remaining, consecutive_attack_windows, inbound_pkts, inbound_bytes, round(tier0_score, 6) AS tier0_score, round(tier1_final_score, 6) AS tier1_final_score, unique_src_ips, win_10s_peak_pps, ts AS timestamp_dt, CAST(win_10s_peak_pps AS VARCHAR) AS peak_pps_10s FROM (SELECT *, inbound_pkts::DOUBLE AS unique_src_ips FROM stats WHERE {_since(60)} {_LATEST})")
@@ -416,16 +473,31 @@ def k02_services(spark, d):
     return catalogue.services(_stats(spark, d), AS_OF)
 
 
-@query("k03_service_detail", f"{_STATS} SELECT slot_id, timestamp_ns, inbound_pkts, phase_str, absolute_floor_fired FROM stats WHERE slot_id = 5 ORDER BY timestamp_ns DESC LIMIT 1")
+_DETAIL = ["slot_id", "tick", "timestamp_ns", "sequence_num", "target_ip", "target_ip_str", "port", "proto_kind", "proto_kind_str", "is_catchall", "profile_name", "phase", "phase_str", "consecutive_attack_windows", "warmup_remaining", "absolute_floor_fired", "dominant_channel", *_LONGS]
+_DETAIL_REALS = [*_MOMENTS, "tier0_score", "tier1_final_score"]
+
+
+@query("k03_service_detail", f"{_STATS} SELECT {', '.join(_DETAIL)}, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _DETAIL_REALS)}, ts AS timestamp_dt, format('{{:,}}', win_10s_peak_pps) AS peak_pps_display FROM stats WHERE slot_id = 5 ORDER BY timestamp_ns DESC LIMIT 1")
 def k03_service_detail(spark, d):
-    return catalogue.service_detail(_stats(spark, d), 5).select("slot_id", "timestamp_ns", "inbound_pkts", "phase_str", "absolute_floor_fired")
+    return catalogue.service_detail(_stats(spark, d), 5).select(*_DETAIL, *_DETAIL_REALS, "timestamp_dt", "peak_pps_display")
 
 
-@query("k04_timeseries", f"{_STATS} SELECT ts AS timestamp_dt, inbound_pkts, inbound_bytes, tcp_pkts, syn_pkts, round(ttl_mean, 6) AS ttl_mean, round(tier1_final_score, 6) AS tier1_final_score, phase FROM stats WHERE slot_id = 5 AND {_since(120)}")
+#: Columns of a series that only the detector knows; here they follow the packets.
+_MADE_UP = ["src_24_top1_share", "src_24_entropy", "bw_pps_z_last", "bw_bps_z_last", *(f"tier1_{c}_score" for c in ("tcp", "udp", "icmp", "dist", "l3", "offproto"))]
+_SERIES_SQL = [
+    f"round((inbound_pkts % {_MADE_UP.index(c) + 2}) / 7.0, 6) + 0.0 AS {c}" if c in _MADE_UP
+    else f"inbound_pkts::DOUBLE AS {c}" if c.startswith("unique_")
+    else "round(CASE WHEN inbound_pkts > 1 THEN sqrt(greatest(ttl_M2, 0) / (inbound_pkts - 1)) ELSE 0 END, 6) + 0.0 AS ttl_stddev" if c == "ttl_stddev"
+    else f"round({c}, 6) + 0.0 AS {c}" if c in ("ttl_mean", "tier0_score", "tier1_final_score") else c
+    for c in catalogue.SERIES
+]
+
+
+@query("k04_timeseries", f"{_STATS} SELECT ts AS timestamp_dt, {', '.join(_SERIES_SQL)} FROM stats WHERE slot_id = 5 AND {_since(120)}")
 def k04_timeseries(spark, d):
     s = _stats(spark, d)
-    zero = {c: F.lit(0.0) for c in catalogue.SERIES if c not in s.columns}
-    return catalogue.timeseries(s.withColumns(zero), 5, AS_OF, 120).select("timestamp_dt", "inbound_pkts", "inbound_bytes", "tcp_pkts", "syn_pkts", "ttl_mean", "tier1_final_score", "phase")
+    scores = {c: (F.col("inbound_pkts") % (k + 2)) / 7.0 for k, c in enumerate(_MADE_UP)}
+    return catalogue.timeseries(s.withColumns({"ttl_stddev": scalars.sample_sd(F.col("ttl_M2"), F.col("inbound_pkts"))} | scores), 5, AS_OF, 120)
 
 
 def _registry_events(spark, d):
@@ -434,17 +506,22 @@ def _registry_events(spark, d):
     n = F.col("o_orderkey")
     at = F.timestamp_seconds(F.lit(EPOCH_S) + n % 86400)
     row = {"event_type": F.when(n % 5 == 0, "reload_failed").otherwise("reload"), "source_path": F.concat(F.lit("/etc/registry/"), n % 3), "error_message": F.when(n % 5 == 0, "bad version").otherwise(""), "services_json_sha256": F.sha2(n.cast("string"), 256)}
-    return o.select(at.alias("timestamp_dt"), *(row[c].alias(c) if c in row else (n % 100).alias(c) for c in [f.name for f in schemas.REGISTRY_EVENTS.fields if f.name != "timestamp_dt"])).orderBy("services_json_sha256")
+    return o.select(at.alias("timestamp_dt"), *(row[c].alias(c) if c in row else (n % 100).alias(c) for c in [f.name for f in schemas.REGISTRY_EVENTS.fields if f.name != "timestamp_dt"]), F.to_date(at).alias("event_date"))
 
 
 _EVENTS = f"WITH reg AS (SELECT {EPOCH_S} + o_orderkey % 86400 AS ts, CASE WHEN o_orderkey % 5 = 0 THEN 'reload_failed' ELSE 'reload' END AS event_type, '/etc/registry/' || (o_orderkey % 3) AS source_path, o_orderkey % 100 AS n, CASE WHEN o_orderkey % 5 = 0 THEN 'bad version' ELSE '' END AS error_message FROM orders WHERE o_orderpriority = '1-URGENT')"
 
 
-@query("k06_registry_audit", f"{_EVENTS} SELECT ts AS timestamp_dt, event_type, source_path, n AS n_total_slots, error_message FROM reg ORDER BY ts DESC LIMIT 50")
+@query("k06_registry_audit", f"{_EVENTS} SELECT ts AS timestamp_dt, event_type, source_path, n AS n_total_slots, error_message FROM reg ORDER BY ts DESC, event_type, source_path, n LIMIT 50")
 def k06_registry_audit(spark, d):
     return catalogue.registry_audit(_registry_events(spark, d), 50).select("timestamp_dt", "event_type", "source_path", "n_total_slots", "error_message")
 
 
+@query("k26_registry_history", f"{_EVENTS} SELECT ts AS timestamp_dt, n AS n_total_slots, event_type, source_path FROM reg ORDER BY ts DESC, n, event_type, source_path LIMIT 10")
+def k26_registry_history(spark, d):
+    return catalogue.registry_history(_registry_events(spark, d))
+
+
 @query("k07_alerts", f"{_TRANS} SELECT timestamp_ns, slot_id, port, from_phase_str, to_phase_str, proto_kind_str FROM transitions ORDER BY timestamp_ns DESC, slot_id LIMIT 100")
 def k07_alerts(spark, d):
     return catalogue.alerts(facts.transitions(_stats(spark, d)), 100).select("timestamp_ns", "slot_id", "port", "from_phase_str", "to_phase_str", "proto_kind_str")
@@ -481,9 +558,9 @@ def k08_annotated_transitions(spark, d):
     return a.select("ts_ns", F.get_json_object("payload", "$.slot_id").cast("int").alias("slot_id"), F.get_json_object("payload", "$.annotation.status").alias("status"))
 
 
-@query("k10_system_health", f"{_STATS} SELECT {AS_OF_S} - max(ts) AS age_seconds FROM stats")
+@query("k10_system_health", f"{_STATS}, {_EVENTS.removeprefix('WITH ')}, r AS (SELECT * FROM reg ORDER BY ts DESC, event_type DESC LIMIT 1), a AS (SELECT {AS_OF_S} - max(ts) AS age_seconds FROM stats) SELECT age_seconds, CASE WHEN age_seconds < 60 THEN age_seconds || 's ago' WHEN age_seconds < 3600 THEN (age_seconds // 60) || 'm ago' ELSE (age_seconds // 3600) || 'h ago' END AS age, event_type AS last_event, ts AS last_event_at FROM a, r")
 def k10_system_health(spark, d):
-    return catalogue.system_health(_stats(spark, d), _registry_events(spark, d), AS_OF).select("age_seconds")
+    return catalogue.system_health(_stats(spark, d), _registry_events(spark, d), AS_OF)
 
 
 @query("k11_system_slots", f"{_STATS} SELECT slot_id, target_ip_str, port, proto_kind_str, profile_name, phase_str FROM stats WHERE {_since(60)} {_LATEST}")
@@ -491,9 +568,10 @@ def k11_system_slots(spark, d):
     return catalogue.system_slots(_stats(spark, d), AS_OF)
 
 
-@query("k12_health", f"{_STATS} SELECT 'ok' AS status, {AS_OF_S} - max(ts) AS age_seconds, count(*) AS rows FROM stats")
+@query("k12_health", f"{_STATS} SELECT * FROM (SELECT CASE WHEN count(*) = 0 OR {AS_OF_S} - max(ts) > 300 THEN 'degraded' ELSE 'ok' END AS status, {AS_OF_S} - max(ts) AS age_seconds, count(*) AS rows FROM stats) UNION ALL SELECT CASE WHEN count(*) = 0 OR {AS_OF_S + 400} - max(ts) > 300 THEN 'degraded' ELSE 'ok' END, {AS_OF_S + 400} - max(ts), count(*) FROM stats")
 def k12_health(spark, d):
-    return catalogue.health(_stats(spark, d), AS_OF)
+    s = _stats(spark, d)
+    return catalogue.health(s, AS_OF).unionByName(catalogue.health(s, AS_OF + dt.timedelta(seconds=400)))
 
 
 @query("k13_in_attack", f"{_STATS} SELECT slot_id, port, proto_kind_str, round(tier0_score, 6) AS tier0_score, round(tier1_final_score, 6) AS tier1_final_score, ts AS timestamp_dt FROM stats WHERE {_since(30, True)} AND phase = 3")
@@ -508,7 +586,7 @@ def k14_top_ips(spark, d):
 
 @query("k15_transition_history", f"{_TRANS} SELECT ts AS timestamp_dt, slot_id, port, from_phase_str, to_phase_str, round(attack_evidence, 6) AS attack_evidence FROM transitions WHERE target_ip = {SERVICE_IP} AND {_since(86400, True)}")
 def k15_transition_history(spark, d):
-    t = facts.transitions(_stats(spark, d)).withColumn("timestamp_dt", scalars.seconds_of(F.col("timestamp_ns")))
+    t = facts.dated(facts.transitions(_stats(spark, d)))
     return catalogue.transition_history(t, SERVICE_IP, AS_OF).select("timestamp_dt", "slot_id", "port", "from_phase_str", "to_phase_str", "attack_evidence")
 
 
@@ -519,7 +597,7 @@ def k16_score_buckets(spark, d):
 
 @query("k17_hour_peaks", f"{_STATS} SELECT target_ip_str, port, max(win_60s_peak_pps) AS hour_peak_pps FROM stats WHERE {_since(3600, True)} GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 20")
 def k17_hour_peaks(spark, d):
-    t = facts.temporal_rows(_stats(spark, d)).withColumns({"timestamp_dt": scalars.seconds_of(F.col("timestamp_ns")), "target_ip_str": scalars.long_to_ip(F.col("target_ip"))})
+    t = facts.dated(facts.temporal_rows(_stats(spark, d))).withColumn("target_ip_str", scalars.long_to_ip(F.col("target_ip")))
     return catalogue.hour_peaks(t, AS_OF)
 
 
@@ -550,7 +628,7 @@ def k21_top_scores(spark, d):
 
 @query("k22_recent_transitions", f"{_TRANS} SELECT timestamp_ns, slot_id, from_phase, to_phase FROM transitions WHERE {_since(3600)} ORDER BY timestamp_ns DESC, slot_id LIMIT 50")
 def k22_recent_transitions(spark, d):
-    t = facts.transitions(_stats(spark, d)).withColumn("timestamp_dt", scalars.seconds_of(F.col("timestamp_ns")))
+    t = facts.dated(facts.transitions(_stats(spark, d)))
     return catalogue.recent_transitions(t, AS_OF).select("timestamp_ns", "slot_id", "from_phase", "to_phase")
 
 

@@ -20,6 +20,7 @@ PROFILES = struct(
     name=S, alpha=D, variance_ceiling=D, absolute_pps_threshold=D, absolute_bps_threshold=D, absolute_fps_threshold=D,
     baseline_freeze_windows=I, thaw_cooldown_windows=I, warmup_windows=I, fix_fps_source=B, fix_frag_zscore=B,
 )
+# The columns of records and tables, as their readers expect them.
 COUNTERS = [
     "inbound_pkts", "inbound_bytes", "off_proto_pkts", "ip_frag_pkts", "out_pkts", "out_bytes", "out_tcp_pkts", "out_udp_pkts", "out_icmp_pkts",
     "tcp_pkts", "tcp_bytes", "syn_pkts", "syn_ack_pkts", "fin_ack_pkts", "rst_pkts", "ack_data_pkts", "empty_ack_pkts", "zero_window_pkts",

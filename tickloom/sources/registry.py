@@ -15,7 +15,17 @@ SECTIONS = ["tier0_weights", "tier1_weights", "fusion_weights", "thresholds", "a
 KNOBS = {"alpha": 0.05, "variance_ceiling_factor": 6.0, "baseline_freeze_windows": 60, "thaw_cooldown_windows": 30, "warmup_windows": 400}
 THRESHOLDS = ["absolute_pps_threshold", "absolute_bps_threshold", "absolute_fps_threshold"]
 FLAGS = ["fix_fps_source", "fix_frag_zscore"]
-TOP_KEYS = ["version", "protected_ips", "profiles", "catchall_assignments", "services"]
+# What strict documents may hold, and the weights and probabilities that each of their profiles must give.
+TOP_KEYS = ["version", "metadata", "protected_ips", "profiles", "catchall_assignments", "services"]
+PROFILE_KEYS = ["tier0", "tier1", "tier1_l3", "tier1_offproto", "v2_feature_weights"]
+SERVICE_KEYS = ["name", "target_ip", "port", "port_range", "proto", "profile", "detection_enabled", "added_at", "added_by", "notes"]
+WEIGHTS = {
+    "tier0.weights": ["pps", "bps", "fps", "burst_pps", "burst_bps", "burst_fps"],
+    "tier1.fusion_weights": ["tcp", "udp", "icmp", "dist"],
+    "tier1_l3.weights": ["ttl_stddev", "ip_frag_ratio", "other_proto_ratio", "src_port_top1_share", "src_24_top1_share", "src_24_entropy"],
+    "v2_feature_weights": ["empty_ack_ratio", "zero_window_ratio", "small_window_ratio", "new_flow_ratio", "syn_fin_ratio", "syn_to_synack_ratio", "tcp_pkt_size_cov", "tcp_mean_pkt_size", "udp_pkt_size_cov", "udp_mean_pkt_size"],
+}
+PROBABILITIES = {"tier1": ["normal_threshold", "suspicious_threshold"], "tier1_offproto": ["suspicious_threshold", "attack_threshold"]}
 DOCUMENT = (
     "version int, protected_ips array<string>, profiles map<string, map<string, string>>, catchall_assignments map<string, map<string, string>>, "
     "services array<struct<name string, target_ip string, port string, port_range string, proto string, profile string, detection_enabled string>>"
@@ -97,7 +107,11 @@ def resolved(slot_rows: DataFrame, profile_rows: DataFrame, strict: bool = True)
 
 
 def violations(doc: DataFrame, mode: str = "engine") -> DataFrame:
-    """(rule, path, message) of all rules at once; mode ``strict_v1`` also asks for all catchalls and refuses unknown keys."""
+    """(rule, path, message) of all rules at once.
+
+    Mode ``strict_v1`` also asks for all catchalls, for room for four catchalls of every
+    address and for all weights and probabilities, and refuses unknown keys.
+    """
     if mode not in ("engine", "strict_v1"):
         raise ValueError("mode must be engine or strict_v1")
     ips, cs, ss = protected_ips(doc), catchalls(doc), services(doc)
@@ -134,8 +148,20 @@ def violations(doc: DataFrame, mode: str = "engine") -> DataFrame:
     if mode == "strict_v1":
         whole = ips.select(F.col("text_ip").alias("target_ip"), F.explode(F.array(*(F.lit(f) for f in FAMILIES))).alias("family"))
         parts.append(bad(whole.join(cs.select("target_ip", "family"), ["target_ip", "family"], "left_anti"), "L4", F.concat_ws(".", "target_ip", "family"), "catchall is missing"))
-        keys = doc.select(F.explode(F.array_except(F.json_object_keys("text"), F.array(*(F.lit(k) for k in TOP_KEYS)))).alias("k"))
+        among = lambda keys: F.array(*(F.lit(k) for k in keys))
+        keys = doc.select(F.explode(F.array_except(F.json_object_keys("text"), among(TOP_KEYS))).alias("k"))
         parts.append(bad(keys, "L13", F.col("k"), "unknown key"))
+        inner = prof.select("profile", F.explode(F.array_except(F.map_keys("p"), among(PROFILE_KEYS))).alias("k"))
+        parts.append(bad(inner, "L13", F.concat_ws(".", "profile", "k"), "unknown key of a profile"))
+        each = doc.select(F.posexplode(F.from_json(F.get_json_object("text", "$.services"), "array<string>")).alias("n", "s"))
+        own = each.select("n", F.explode(F.array_except(F.json_object_keys("s"), among(SERVICE_KEYS))).alias("k"))
+        parts.append(bad(own, "L13", F.concat(at("services", F.col("n")), F.lit("."), F.col("k")), "unknown key of a service"))
+        room = _ports(ss).agg(F.count("*").alias("k")).crossJoin(ips.agg(F.count("*").alias("i")))  # one row each
+        parts.append(bad(room.where(F.col("k") + 4 * F.col("i") > MAX_SLOTS), "L10", F.lit("services"), "no room for four catchalls of every address"))
+        named = F.array(*(F.struct(F.lit(f"{section}.{k}").alias("path"), F.lit(most).alias("most")) for table, most in ((WEIGHTS, None), (PROBABILITIES, 1.0)) for section, ks in table.items() for k in ks))
+        asked = prof.select("profile", "p", F.explode(named.cast("array<struct<path string, most double>>")).alias("w")).select("profile", "p", F.col("w.path").alias("w"), F.col("w.most").alias("most"))
+        value = F.expr("try_cast(get_json_object(p[substring_index(w, '.', 1)], concat('$.', substring(w, instr(w, '.') + 1))) as double)")
+        parts.append(bad(asked.where(value.isNull() | (value < 0) | (value > F.col("most"))), "L12", F.concat_ws(".", "profile", "w"), "weights are numbers of at least 0, probabilities of 0 to 1"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
