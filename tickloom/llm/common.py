@@ -45,13 +45,27 @@ def give_back() -> None:
         library.malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with this package on the executors and batches of bounded size, which is a setting of the session."""
+def begin(keeps: str | None) -> None:
+    for name in [n for n in remembered if n != keeps]:
+        del remembered[name]
+    give_back()
+
+
+#: What a worker process remembers from task to task, by name.
+remembered: dict[str, object] = {}
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with this package on the executors and batches of bounded size, which is a setting of the session.
+
+    Of what a worker remembers only ``keeps`` outlives the start of this task, so that no
+    operator's memory burdens the next one's tasks.
+    """
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        begin(keeps)
         yield from fn(batches)
         give_back()
 

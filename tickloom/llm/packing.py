@@ -28,7 +28,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.cluster import written
-from tickloom.llm.common import id_text, map_arrow
+from tickloom.llm.common import id_text, map_arrow, remembered
 
 SEQUENCE = 2048
 END = 0
@@ -109,10 +108,12 @@ class ChunkTokenizer:
         return np.frombuffer(b"".join(out), "<u4")
 
 
-@lru_cache(1)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    """One for each worker process, which keeps what it remembers from task to task."""
-    return ChunkTokenizer(path)
+    """One for each worker process, which keeps what it remembers from task to task of this operator."""
+    key, model = remembered.get("tokenizer", (None, None))
+    if key != path:
+        remembered["tokenizer"] = path, (model := ChunkTokenizer(path))
+    return model
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -141,7 +142,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END,
                 cols, names = [*cols, pa.array(ids, pa.list_(pa.int64()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return map_arrow(id_text(docs), run, PIECES + ", ids array<long>" * with_ids)
+    return map_arrow(id_text(docs), run, PIECES + ", ids array<long>" * with_ids, keeps="tokenizer")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
