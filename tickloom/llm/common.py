@@ -30,12 +30,9 @@ BATCH_BYTES = 16 << 20
 
 @lru_cache(1)
 def _allocator() -> ctypes.CDLL | None:
-    """The C library's allocator, told to give every array of a megabyte or more back to the system when it is freed."""
+    """The C library, if its allocator can be told to return what is free."""
     library = ctypes.CDLL(None)
-    if not hasattr(library, "mallopt") or not hasattr(library, "malloc_trim"):
-        return None
-    library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
-    return library
+    return library if hasattr(library, "malloc_trim") else None
 
 
 def give_back() -> None:

@@ -64,6 +64,8 @@ HOT_SHARE, HOT_LEAST = 1 / 500_000, 50_000
 WORD_SHARD_BYTES = 48 << 20
 SHARD_BYTES = 12 << 20
 BLOCK_BYTES = 5 << 20
+#: Of compression.
+LEVEL = 3
 #: Blocks in one task, about.
 TASK_BLOCKS = 4
 END, START = 0, 0  # the end's hash; the number of the context of starts
@@ -74,14 +76,14 @@ ANSWERED = f"{PLACE}, level int, shard long, payload binary, tokens long, vocabu
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob; unsigned integers in as few bytes as they need."""
+    """Arrays as one compressed blob: unsigned integers in as few bytes as they need, equal bytes of all numbers together."""
     head, body = struct.pack("<H", len(arrays)), []
     for a in arrays:
         if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
             a = a.astype(np.min_scalar_type(int(a.max())))
         head += struct.pack("<2sq", a.dtype.str[1:].encode(), len(a))
-        body.append(a.tobytes())
-    return zstandard.compress(head + b"".join(body), 1)
+        body.append((np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T if a.itemsize > 1 else a).tobytes())
+    return zstandard.compress(head + b"".join(body), LEVEL)
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -89,8 +91,10 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     (n,), at, out = struct.unpack_from("<H", raw), 2 + 10 * struct.unpack_from("<H", raw)[0], []
     for k in range(n):
         kind, size = struct.unpack_from("<2sq", raw, 2 + 10 * k)
-        out.append(np.frombuffer(raw, np.dtype("<" + kind.decode()), size, at))
-        at += out[-1].nbytes
+        dtype = np.dtype("<" + kind.decode())
+        a = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at)
+        out.append(np.ascontiguousarray(a.reshape(dtype.itemsize, -1).T).view(dtype).reshape(-1) if dtype.itemsize > 1 else a.view(dtype))
+        at += a.nbytes
     return out
 
 
