@@ -143,14 +143,22 @@ def test_messages_in_files(spark, tmp_path):
 
 def test_tables(spark, tmp_path):
     spark.sql("DROP DATABASE IF EXISTS t_tables CASCADE")
-    assert len(tables.create(spark, "t_tables", dry_run=True)) == 6
-    tables.create(spark, "t_tables")
-    assert len(spark.catalog.listTables("t_tables")) == 5 and tables.create(spark, "t_tables")
+    assert len(tables.create(spark, "t_tables", dry_run=True)) == 7
+    spark.sql("CREATE DATABASE t_tables")
+    spark.sql("CREATE TABLE t_tables.traffic_stats (dst_ip STRING) USING parquet")
+    spark.sql("INSERT INTO t_tables.traffic_stats VALUES ('192.0.2.1')")
     spark.sql("CREATE TABLE t_tables.service_stats (slot_id INT) USING parquet")
-    assert sum("ALTER" in s for s in tables.create(spark, "t_tables")) == 9 and not any("ALTER" in s for s in tables.create(spark, "t_tables"))
-    assert len(tables.rollback(spark, "t_tables")) == 6 and len(spark.catalog.listTables("t_tables")) == 6
+    names = lambda: sorted(t.name for t in spark.catalog.listTables("t_tables"))
+    assert sum("ADD COLUMNS" in s for s in tables.create(spark, "t_tables")) == 9
+    assert len(names()) == 7 and "traffic_stats_legacy" in names() and "traffic_stats" not in names()
+    assert not any("ALTER" in s for s in tables.create(spark, "t_tables"))
+    assert tables.verified(spark, "t_tables") == dict.fromkeys(tables.RETENTION_DAYS, 0)
+    assert len(tables.rollback(spark, "t_tables")) == 7 and len(names()) == 7
     tables.rollback(spark, "t_tables", confirm=True)
-    assert not spark.catalog.listTables("t_tables")
+    assert names() == ["traffic_stats"] and spark.table("t_tables.traffic_stats").count() == 1
+    spark.sql("DROP DATABASE t_tables CASCADE")
+    tables.create(spark, "t_tables")
+    assert [f.name for f in spark.table("t_tables.service_stats").schema][:3] == ["timestamp_ns", "slot_id", "sequence_num"] and "phase_str" in spark.table("t_tables.service_stats").columns
     spark.sql("DROP DATABASE t_tables CASCADE")
 
     path = str(tmp_path / "stats")

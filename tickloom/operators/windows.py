@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tickloom.cluster import ship_package
+from tickloom.operators.step import train
 
 BURST_TICKS = 10
 WINDOWS = (10, 60, 300)
@@ -34,14 +42,25 @@ def fire_history(df: DataFrame, keys: list[str], fired: str = "fired", ticks: in
     return df.withColumn("fires", F.sum(F.col(fired).cast("int")).over(w))
 
 
-def numbered(df: DataFrame, ticks_per_slot: int | None = None) -> DataFrame:
-    """``sequence_num`` that rises with (tick, slot_id): dense in one ordered pass, or tick * slots + slot without any."""
+#: Ticks that are numbered in one task: a day of seconds.
+STRETCH = 86_400
+
+
+def numbered(df: DataFrame, ticks_per_slot: int | None = None, stretch: int = STRETCH) -> DataFrame:
+    """``sequence_num`` that rises with (tick, slot_id): dense, or tick * slots + slot without any pass.
+
+    Ranks are counted within a tick, ticks are summed up within a stretch of them, and
+    stretches among one another, so no task holds all ticks.
+    """
     if ticks_per_slot:
         return df.withColumn("sequence_num", F.col("tick") * ticks_per_slot + F.col("slot_id"))
-    # ranks are counted per tick and shifted by the ticks before, so no task holds all rows
-    per = df.groupBy("tick").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = df.groupBy("tick").agg(F.count("*").alias("_n")).withColumn("_stretch", F.floor(F.col("tick") / stretch))
+    inside = per.withColumn("_inside", before(Window.partitionBy("_stretch").orderBy("tick")))
+    past = per.groupBy("_stretch").agg(F.sum("_n").alias("_n")).withColumn("_past", before(Window.orderBy("_stretch"))).select("_stretch", "_past")  # a row a day
+    offset = inside.join(F.broadcast(past), "_stretch").select("tick", (F.col("_inside") + F.col("_past")).alias("_before"))
     here = df.withColumn("_r", F.row_number().over(Window.partitionBy("tick").orderBy("slot_id")))
-    return here.join(per.select("tick", "_before"), "tick").withColumn("sequence_num", F.col("_before") + F.col("_r")).drop("_before", "_r")
+    return here.join(offset, "tick").withColumn("sequence_num", F.col("_before") + F.col("_r")).drop("_before", "_r")
 
 
 def cusum_fixed(df: DataFrame, keys: list[str], z: str, drift: float = 0.5) -> DataFrame:
@@ -52,24 +71,30 @@ def cusum_fixed(df: DataFrame, keys: list[str], z: str, drift: float = 0.5) -> D
 
 
 def ewma(df: DataFrame, keys: list[str], value: str, alpha: float = 0.05, ceiling: float = 6.0) -> DataFrame:
-    """Mean, variance and count of the winsorised exponential average of each key's values in tick order, natively.
+    """Mean, variance and count of the winsorised exponential average of each key's values in tick order.
 
-    Fixed values: clamping starts after 8 samples; deviations are at least 1 % of the mean and 1e-6.
+    The detector's own training step, folded over rows that are dealt by key and sorted by
+    tick; a task holds one batch and one key's baseline, however long its series.
     """
-    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("variance"), F.lit(0).alias("n"))
-
-    def merge(acc: Column, row: Column) -> Column:
-        x = row["x"]
-        sd = F.sqrt(F.greatest(acc["variance"], F.lit(0.0)))
-        off = x - acc["mean"]
-        clamped = F.when((acc["n"] >= 8) & (F.lit(ceiling) > 0) & (sd > 0), F.greatest(F.least(off, ceiling * sd), -ceiling * sd)).otherwise(off)
-        mean = acc["mean"] + alpha * clamped
-        least = F.greatest(0.01 * F.abs(mean), F.lit(1e-6))
-        moved = F.struct(mean.alias("mean"), F.greatest((1 - alpha) * (acc["variance"] + alpha * clamped * clamped), least * least).alias("variance"), (acc["n"] + 1).alias("n"))
-        return F.when(acc["n"] == 0, F.struct(x.alias("mean"), F.lit(0.0).alias("variance"), F.lit(1).alias("n"))).otherwise(moved)
-
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tick", F.col(value).cast("double").alias("x")))).alias("rows"))
-    return rows.select(*keys, F.aggregate("rows", start, merge).alias("e")).select(*keys, "e.mean", "e.variance", F.col("e.n").cast("long").alias("n"))
+    ship_package(df.sparkSession)
+    rows = df.select(*keys, "tick", F.col(value).cast("double").alias("_x")).where("_x is not null")
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name in keys), T.StructField("mean", T.DoubleType()), T.StructField("variance", T.DoubleType()), T.StructField("n", T.LongType())])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, baseline, done = None, [0.0, 0.0, 0], []
+        for b in batches:
+            for *mine, _, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if mine != key:
+                    if key is not None:
+                        done.append((*key, *baseline))
+                    key, baseline = mine, [0.0, 0.0, 0]
+                train(baseline, x, alpha, ceiling)
+        if key is not None:
+            done.append((*key, *baseline))
+        yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in done], schema=kinds)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "tick").mapInArrow(run, schema)
 
 
 def down_sampled(df: DataFrame, keys: list[str], order: str, points: int = 60, means: tuple[str, ...] = (), peaks: tuple[str, ...] = ()) -> DataFrame:

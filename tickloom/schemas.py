@@ -40,6 +40,19 @@ TRANSITIONS = struct(
     tier0_score=D, tier1_final_score=D, attack_evidence=D, consecutive_attack_windows=I, absolute_floor_fired=I,
 )
 TEMPORAL = struct(timestamp_ns=L, slot_id=I, target_ip=L, port=I, proto_kind=I, window_seconds=I, total_pkts=L, peak_pps=L, attack_seconds=L)
+_TEXTS = ("profile_name",)
+_SMALL = ("slot_id", "port", "proto_kind", "is_catchall", "phase", "prev_phase", "warmup_remaining", "consecutive_attack_windows", "baseline_freeze_remaining", "thaw_cooldown_remaining", "windows_seen", "absolute_floor_fired", "dominant_channel")
+
+
+def stats_type(name: str) -> T.DataType:
+    """The type of a column of the statistics table."""
+    if name in _TEXTS:
+        return S
+    if name in _SMALL:
+        return I
+    return D if name.startswith(("unique_", "src_24_", "ttl_mean", "ttl_stddev", "bw_", "tier")) else L
+
+
 REGISTRY_EVENTS = T.StructType([
     T.StructField("timestamp_dt", T.TimestampType()), *struct(event_type=S, source_path=S).fields,
     *(T.StructField(c, L) for c in ("n_protected_ips", "n_profiles", "n_services", "n_catchalls", "n_total_slots", "reload_count", "reload_failures")),

@@ -8,23 +8,28 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom import schemas
+from tickloom.operators.facts import DERIVED_COLUMNS, STATS_COLUMNS
 
 #: Days that each table keeps.
 RETENTION_DAYS = {"service_stats": 30, "service_phase_transitions": 90, "service_temporal_aggregates": 30, "service_registry_snapshots": 365, "service_admin_actions": 30}
 ADDITIVE = [("service_phase_transitions", "absolute_floor_fired", "INT"), ("service_stats", "absolute_floor_fired", "INT"), *(("service_stats", f"tier0_risk_{c}", "DOUBLE") for c in ("pps", "bps", "fps", "burst_pps", "burst_bps", "burst_fps")), ("service_stats", "dominant_channel", "INT"), ("service_stats", "dominant_channel_str", "STRING")]
+# The table of the schema before, and its name while this one is in use.
+LEGACY, LEGACY_KEPT = "traffic_stats", "traffic_stats_legacy"
 STATUSES = ("new", "acknowledged", "resolved", "false_positive")
 BACKUPS = 20
 
 
 def create(spark: SparkSession, database: str, dry_run: bool = False) -> list[str]:
     """Create the database and its tables where absent and add missing columns; returns what was (or would be) run."""
+    stats = T.StructType([T.StructField(c, schemas.stats_type(c)) for c in STATS_COLUMNS] + [T.StructField(c, T.TimestampType() if c == "timestamp_dt" else T.StringType()) for c in DERIVED_COLUMNS if c != "event_date"])
     tables = {
-        "service_phase_transitions": schemas.TRANSITIONS, "service_temporal_aggregates": schemas.TEMPORAL, "service_registry_snapshots": schemas.REGISTRY_EVENTS,
+        "service_stats": stats, "service_phase_transitions": schemas.TRANSITIONS, "service_temporal_aggregates": schemas.TEMPORAL, "service_registry_snapshots": schemas.REGISTRY_EVENTS,
         "service_admin_actions": schemas.ADMIN_ACTIONS, "service_alert_annotations": schemas.ANNOTATIONS,
     }
-    todo = [f"CREATE DATABASE IF NOT EXISTS {database}"]
+    todo = [f"CREATE DATABASE IF NOT EXISTS {database}", *_renamed(spark, database, LEGACY, LEGACY_KEPT)]
     for name, s in tables.items():
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.fields)
         todo.append(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}, event_date date) USING parquet PARTITIONED BY (event_date)")
@@ -42,10 +47,22 @@ def create(spark: SparkSession, database: str, dry_run: bool = False) -> list[st
     return done
 
 
+def _renamed(spark: SparkSession, database: str, old: str, new: str) -> list[str]:
+    """The statement that renames a table, if there is one to rename and none in its place."""
+    there = {t.name for t in spark.catalog.listTables(database)} if spark.catalog.databaseExists(database) else set()
+    return [f"ALTER TABLE {database}.{old} RENAME TO {database}.{new}"] if old in there and new not in there else []
+
+
+def verified(spark: SparkSession, database: str) -> dict[str, int]:
+    """Rows of each fact table; raises if one is missing or can't be read."""
+    return {name: spark.table(f"{database}.{name}").count() for name in RETENTION_DAYS}
+
+
 def rollback(spark: SparkSession, database: str, confirm: bool = False) -> list[str]:
-    """Drop the tables of :func:`create`; without ``confirm`` only says what would go."""
+    """Drop the tables of :func:`create` and give the legacy table its name back; without ``confirm`` only says what would be run."""
     names = [t.name for t in spark.catalog.listTables(database)] if spark.catalog.databaseExists(database) else []
     todo = [f"DROP TABLE IF EXISTS {database}.{n}" for n in names if n in RETENTION_DAYS or n == "service_alert_annotations"]
+    todo += _renamed(spark, database, LEGACY_KEPT, LEGACY)
     if confirm:
         for sql in todo:
             spark.sql(sql)
