@@ -41,4 +41,4 @@ def test_stages_on_awkward_documents(spark):
 
 
 def test_query_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))

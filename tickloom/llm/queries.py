@@ -50,6 +50,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: how many spans of each base kind a text has."""
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: the statistics and the rules that need no forest."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *quality.BASE, "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "base_secret_counts": base_secret_counts,
+    "base_quality_statistics": base_quality_statistics,
 }
 
 _WARC_SQL = """
@@ -73,9 +85,32 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id < t
 FROM p LEFT JOIN g ON g.d = p.d AND n >= 1000
 """
 
+_either_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_SECRETS_SQL = rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '({"|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+_QUALITY_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < {quality.MIN_WORDS} OR 100 * coalesce(r.n, 0) > {quality.REPEAT_PERCENT} * len(w) AS base_failed
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.SQL,
     "op2_line_dedup": linededup.SQL,
     "op4_warc": _WARC_SQL,
     "op6_decontamination": decontaminate.SQL,
+    "base_secret_counts": _SECRETS_SQL,
+    "base_quality_statistics": _QUALITY_SQL,
 }
