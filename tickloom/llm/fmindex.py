@@ -49,15 +49,20 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Intervals of the suffix order of ``text`` (symbols of 1 and more, 0 separates)."""
+    """Intervals of the suffix order of ``text`` (symbols of 1 and more, 0 separates).
 
-    def __init__(self, text: np.ndarray, depth: int):
-        n = len(text)
-        self.n, self.text = n, text
-        self.ranks = [text.astype(np.int64)]
+    Kept are the bit planes of the transform, where each symbol's rows begin, a mark at
+    each row that differs from the one before in its first ``depth - 1`` symbols, and the
+    smallest position in rows that a caller asks for; neither text nor suffix order stay.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, position: np.ndarray):
+        self.n = n = len(text)
+        # suffixes by their first 1, 2, 4, ... symbols, as ranks
+        ranks = [text.astype(np.int64)]
         order = np.argsort(text, kind="stable")
-        while 1 << (len(self.ranks) - 1) < depth:
-            last, half = self.ranks[-1], 1 << (len(self.ranks) - 1)
+        while 1 << (len(ranks) - 1) < depth:
+            last, half = ranks[-1], 1 << (len(ranks) - 1)
             after = np.zeros(n, np.int64)
             after[: max(0, n - half)] = last[half:] + 1
             key = last * (int(last.max(initial=0)) + 2) + after
@@ -65,11 +70,23 @@ class FMIndex:
             fresh = np.empty(n, np.int64)
             run = key[order]
             fresh[order] = np.cumsum(np.append(False, run[1:] != run[:-1])) if n else 0
-            self.ranks.append(fresh)
-        self.order = order
+            ranks.append(fresh)
+        self.marks = np.packbits(self._differ(ranks, order, depth - 1), bitorder="little")
+        self.place = position[order]
         self.bwt = WaveletMatrix(text[order - 1])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1))])
 
+    def _differ(self, ranks: list[np.ndarray], order: np.ndarray, length: int) -> np.ndarray:
+        """Whether each row differs from the one before in its first ``length`` symbols, put together from powers of two."""
+        a, b = order[:-1], order[1:]
+        same, at = np.ones(len(a), bool), 0
+        for k in reversed(range(len(ranks))):
+            if length - at >= 1 << k:
+                r = np.append(ranks[k], np.full(at + 1, -1))
+                same &= r[np.minimum(a + at, self.n)] == r[np.minimum(b + at, self.n)]
+                at += 1 << k
+        return np.append(True, ~same)
+
     def everything(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(k, np.int64), np.full(k, self.n)
 
@@ -79,16 +96,17 @@ class FMIndex:
         base = self.first[symbol]
         return base + at[: len(low)], base + at[len(low) :]
 
-    def groups(self, length: int) -> np.ndarray:
-        """Boundaries between rows that differ in their first ``length`` symbols, as a flag for each row."""
-        a, b = self.order[:-1], self.order[1:]
-        same, at = np.ones(len(a), bool), 0
-        for k in reversed(range(len(self.ranks))):
-            if length - at >= 1 << k:
-                r = np.append(self.ranks[k], np.full(at + 1, -1))
-                same &= r[np.minimum(a + at, self.n)] == r[np.minimum(b + at, self.n)]
-                at += 1 << k
-        return np.append(True, ~same)
+    def parents(self) -> np.ndarray:
+        """Where the intervals of all patterns of depth - 1 symbols begin."""
+        return np.append(np.flatnonzero(np.unpackbits(self.marks, count=self.n, bitorder="little")), self.n)
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest position in each interval; different intervals must be disjoint."""
+        begin, at, back = np.unique(low, return_index=True, return_inverse=True)
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        ends = np.stack([begin, high[at]], 1).ravel()
+        return np.minimum.reduceat(np.append(self.place, np.iinfo(np.int64).max), ends)[::2][back]
 
 
 def window_firsts(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, position: np.ndarray, window: int) -> np.ndarray:
@@ -96,30 +114,30 @@ def window_firsts(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, positi
 
     ``text`` holds segments [start, end) with 0 between them.  The segments are
     streamed through an FM-index of the text from their ends: the last window by one
-    backward step for each symbol, every further one by dropping its last symbol (all
-    rows that share the first window - 1 symbols) and one backward step.  Places at
-    which no window of a segment starts keep the largest integer.
+    backward step for each symbol, every further one by dropping its last symbol (the
+    parent interval, of all rows that share the first window - 1 symbols) and one backward
+    step.  The interval that the search ends in holds all occurrences of the window.
+    Places at which no window of a segment starts keep the largest integer.
     """
     out = np.full(len(text), np.iinfo(np.int64).max)
-    index = FMIndex(text, window)
-    edge = index.groups(window)
-    least = np.minimum.reduceat(position[index.order], np.flatnonzero(edge)) if len(text) else position
-    group = np.cumsum(edge) - 1
-    short = np.flatnonzero(index.groups(window - 1))
-    short_of = np.cumsum(index.groups(window - 1)) - 1
-    short_end = np.append(short[1:], index.n)
+    index = FMIndex(text, window, position)
+    parents = index.parents()
     live = np.flatnonzero(ends - starts >= window)
     at = ends[live].copy()
     low, high = index.everything(len(live))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for step in range(int((ends - starts).max(initial=0))):
         at -= 1
         low, high = index.extend(low, high, text[at])
         if step >= window - 1:
-            out[at] = least[group[low]]
+            found.append((at.copy(), low, high))
             stay = at > starts[live]
             live, at, low = live[stay], at[stay], low[stay]
             if not len(live):
                 break
-            g = short_of[low]
-            low, high = short[g], short_end[g]
+            above = np.searchsorted(parents, low, "right") - 1
+            low, high = parents[above], parents[above + 1]
+    if found:
+        where, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        out[where] = index.least(low, high)
     return out
