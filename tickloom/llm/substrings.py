@@ -11,8 +11,10 @@ intervals above the threshold are reported.
 Segments whose minimizer occurs nowhere else cannot match and stay out of the index.
 Grams that are very frequent would make hot shards, so they are used as minimizers
 only where a window has no other; which they are is estimated on ``HOT_SAMPLE`` bytes
-of documents at most and decides placement alone, never a result.  Windows of frequent
-grams only, and copies of whole texts, are merged inside each task before the shuffle.
+of documents at most and decides placement alone, never a result.  Copies of whole texts
+and segments that repeat inside a task are merged there: the first goes to its shard, the
+others are settled and dealt out evenly.  So a shard gets a passage once from each task,
+however many documents hold it.
 The number of shards follows the input; one task holds one shard at a time.
 
 Order is by doc_id and place in the document.  Rows of one doc_id are one document
@@ -146,7 +148,7 @@ def dealt(docs: DataFrame, shards: int, hot: np.ndarray, window: int = WINDOW, g
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         whole: dict[bytes, tuple] = {}  # texts of this task, by digest: the smallest doc_id so far
-        common: dict[bytes, tuple] = {}  # segments of frequent grams only
+        common: dict[bytes, tuple] = {}  # segments that repeat, or are of frequent grams only
         order = lambda d: (d is not None, d or 0)
 
         def emit(words: list[bytes], owners: list[tuple], lengths: list[int]) -> pa.RecordBatch:
@@ -156,16 +158,20 @@ def dealt(docs: DataFrame, shards: int, hot: np.ndarray, window: int = WINDOW, g
             own = doc[first]
             start = first - base[own]
             text: list[bytes | None] = [b" ".join(words[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-            for k in np.flatnonzero(key >= FREQUENT).tolist():
+            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            for k in np.flatnonzero((key >= FREQUENT) | (count[back] > 1)).tolist():
                 here = (*order(owners[own[k]][0]), int(start[k]))
                 was = common.get(text[k])
                 if was is not None and was < here and was[:2] != here[:2]:
-                    text[k] = None  # an equal segment of an earlier document goes to the shard
+                    text[k] = None  # an equal segment of an earlier document goes to the shard: this one goes
                 elif was is None or here < was:
                     if len(common) > 100_000:
                         common.clear()
                     common[text[k]] = here
             shard = (key * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(1)).astype(np.int64) % shards
+            # what is settled needs no shard of its own, and is dealt out by its place in the corpus
+            settled = np.flatnonzero([t is None for t in text])
+            shard[settled] = (np.array([owners[k][1] for k in own[settled].tolist()], np.int64) + start[settled]) % shards
             order_of = np.argsort(shard, kind="stable")
             parts = np.split(order_of, np.flatnonzero(np.diff(shard[order_of])) + 1) if len(order_of) else []
             blocks = [packed(key[p], [owners[k] for k in own[p].tolist()], start[p], (end - first)[p], [text[k] for k in p.tolist()]) for p in parts]
