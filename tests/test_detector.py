@@ -243,3 +243,35 @@ def test_shadow_and_counters(spark, tmp_path):
         __import__("time").sleep(0.2)
     spark.streams.removeListener(seen)
     assert seen.rows_in >= 10 and seen.failed == 0 and seen.observed["facts"]["attack_rows"] >= 2
+
+
+def test_learning_mode_between_ticks(spark):
+    from tickloom import commands
+
+    slots = spark.createDataFrame([(10, 80, 1), (10, 0, 5)], "target_ip long, port int, proto_kind int")
+    on = commands.request_all(slots, 35, "set_learning_mode", {"enabled": True})
+    off = commands.request_all(slots, 50, "set_learning_mode", {"enabled": False})
+    got = {r[:2]: dict(zip(step.OUTPUTS, r[2:])) for r in outputs(detect.detected(snapshots(spark), profiles(spark), on.unionByName(off)))}
+    plain = {r[:2]: dict(zip(step.OUTPUTS, r[2:])) for r in outputs(detect.detected(snapshots(spark), profiles(spark)))}
+    assert plain[0, 41]["phase"] == schemas.ATTACK and got[0, 41]["phase"] == plain[0, 34]["phase"] == schemas.NORMAL
+    assert got[0, 34] == plain[0, 34] and got[0, 59]["windows_seen"] == 60
+    with pytest.raises(ValueError):
+        commands.request_all(slots, 1, "set_learning_mode", {"enabled": "yes"})
+
+
+def test_profiles_by_epoch(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom import commands
+
+    rows = snapshots(spark, range(30)).withColumn("registry_epoch", F.when(F.col("tick") < 15, 1).otherwise(2).cast("long"))
+    both = profiles(spark).withColumn("registry_epoch", F.lit(1).cast("long")).unionByName(profiles(spark).withColumns({"registry_epoch": F.lit(2).cast("long"), "alpha": F.lit(0.42), "warmup_windows": F.lit(99)}))
+    got, old = detect.detected(rows, both), detect.detected(rows, profiles(spark))
+    k = lambda df: {r[:2]: r for r in outputs(df)}
+    a, b = k(got), k(old)
+    assert all(a[x] == b[x] for x in a if x[1] <= 15) and any(a[x] != b[x] for x in a if x[1] > 16)
+    left = {r.slot_id: r.warmup_remaining for r in got.where("tick = 29").collect()}
+    assert set(left.values()) == {0}  # a slot keeps its own warm-up
+    assert sorted(map(tuple, commands.primed(rows, None).collect())) == [(1, False), (2, True)]
+    assert commands.confirmed(rows, 2, 14 * 10**9).first() == (True, 15 * 10**9) and not commands.confirmed(rows, 3, 14 * 10**9).first().confirmed
+    assert not commands.confirmed(rows, 2, 9 * 10**9).first().confirmed

@@ -16,7 +16,7 @@ from tickloom import schemas
 from tickloom.operators import step
 from tickloom.sources import registry
 
-#: Actions on a slot's state; set_learning_mode is a parameter of ``detect.detected``, checkpoints are ``detect.states``.
+#: Actions on a slot's state; checkpoints are ``detect.states``.
 ACTIONS = step.COMMANDS
 # What a dashboard may ask for; reloads are not among it.
 DASHBOARD_ACTIONS = ("ping", "engine_pid", "slot_info", "force_ewma_freeze", "force_attack_freeze", "release_freezes", "reset_transient", "set_learning_mode", "save_checkpoint", "load_checkpoint")
@@ -35,6 +35,27 @@ def request(spark: SparkSession, tick: int, target_ip: int, port: int, proto_kin
     return spark.createDataFrame([(tick, target_ip, port, proto_kind, action, json.dumps(args or {}))], schemas.COMMANDS)
 
 
+def request_all(slots: DataFrame, tick: int, action: str, args: dict | None = None) -> DataFrame:
+    """The same command for every slot, as learning mode is for a whole engine."""
+    step.commanded(step.fresh(step.DEFAULT_PROFILE), action, args or {}, step.DEFAULT_PROFILE)
+    values = {"tick": F.lit(tick), "action": F.lit(action), "args_json": F.lit(json.dumps(args or {}))}
+    return slots.select(*((values[f.name] if f.name in values else F.col(f.name)).cast(f.dataType).alias(f.name) for f in schemas.COMMANDS.fields))
+
+
+def primed(epochs: DataFrame, current: int | None) -> DataFrame:
+    """(registry_epoch, reload): each epoch in which records came, and whether it asks for a reload: the first one seen never does."""
+    seen = epochs.select("registry_epoch").distinct()  # as many rows as there were reloads
+    first = seen.agg(F.min("registry_epoch").alias("first"))
+    start = F.col("first") if current is None else F.lit(current)
+    return seen.crossJoin(first).select("registry_epoch", (F.col("registry_epoch") != start).alias("reload"))
+
+
+def confirmed(snapshots: DataFrame, epoch: int, asked_ns: int, within_s: float = 5.0) -> DataFrame:
+    """One row: whether a record of an epoch came within the seconds after a reload was asked for, and when the first one did."""
+    got = snapshots.where((F.col("registry_epoch") >= epoch) & F.col("produced_ts_ns").between(asked_ns, asked_ns + int(within_s * 1e9)))
+    return got.agg((F.count("*") > 0).alias("confirmed"), F.min("produced_ts_ns").alias("at_ns"))
+
+
 def slot_info(states: DataFrame) -> DataFrame:
     """What an operator sees of each slot's state."""
     names = {"phase": "int", "prev_phase": "int", "warmup_remaining": "int", "history": "int", "ewma_freeze": "int", "normal_run": "int", "attack_freeze": "boolean", "windows_seen": "long", "tier0_score": "double", "t1_final": "double"}

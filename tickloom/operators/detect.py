@@ -28,9 +28,14 @@ STATES = T.StructType([*(T.StructField(k, T.LongType() if k == "target_ip" else
 
 
 def with_params(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Rows with the parameters of their profile, the defaults where it is unknown or silent."""
-    p = profiles.select(F.substring("name", 1, 8).alias("profile_name"), *(F.col(c).alias(f"p_{c}") for c in PARAMS)).dropDuplicates(["profile_name"])
-    joined = rows.join(F.broadcast(p), "profile_name", "left")
+    """Rows with the parameters of their profile, the defaults where it is unknown or silent.
+
+    Profiles with a ``registry_epoch`` hold for records of that epoch: a slot goes on with
+    the state that it has, under the parameters that its records' epoch brings.
+    """
+    on = ["profile_name", *(["registry_epoch"] if "registry_epoch" in profiles.columns else [])]
+    p = profiles.select(F.substring("name", 1, 8).alias("profile_name"), *on[1:], *(F.col(c).alias(f"p_{c}") for c in PARAMS)).dropDuplicates(on)
+    joined = rows.join(F.broadcast(p), on, "left")
     return joined.withColumns({f"p_{c}": F.coalesce(f"p_{c}", F.lit(v)) for c, v in step.DEFAULT_PROFILE.items()})
 
 

@@ -20,8 +20,9 @@ def derived(snapshots: DataFrame, profiles: DataFrame) -> DataFrame:
 
     A record whose profile is unknown gets no thresholds.
     """
-    limits = F.broadcast(profiles.select(F.substring("name", 1, 8).alias("profile_name"), "absolute_pps_threshold", "absolute_bps_threshold", "absolute_fps_threshold").dropDuplicates(["profile_name"]))
-    s = snapshots.join(limits, "profile_name", "left")
+    on = ["profile_name", *(["registry_epoch"] if "registry_epoch" in profiles.columns else [])]
+    limits = F.broadcast(profiles.select(F.substring("name", 1, 8).alias("profile_name"), *on[1:], "absolute_pps_threshold", "absolute_bps_threshold", "absolute_fps_threshold").dropDuplicates(on))
+    s = snapshots.join(limits, on, "left")
     c = F.col
     limit = lambda x: F.coalesce(f"absolute_{x}_threshold", F.lit(0.0))
     return s.withColumns({

@@ -53,7 +53,7 @@ def fresh(params: dict) -> dict:
     return {
         "baselines": {n: [0.0, 0.0, 0] for n in names}, "cusum": dict.fromkeys(VOLUMES, 0.0), "recent": {v: [] for v in VOLUMES},
         "phase": WARMUP, "prev_phase": WARMUP, "warmup_remaining": int(params["warmup_windows"]), "warmup_windows_completed": 0, "history": 0,
-        "consecutive_attack_windows": 0, "ewma_freeze": 0, "normal_run": 0, "attack_freeze": False, "windows_seen": 0, "last_phase_change_window": 0,
+        "consecutive_attack_windows": 0, "ewma_freeze": 0, "normal_run": 0, "attack_freeze": False, "learning": False, "windows_seen": 0, "last_phase_change_window": 0,
         "floor_fired_now": 0, "baseline_freeze_remaining": 0, "thaw_cooldown_remaining": 0, "bw_pps_z_last": 0.0, "bw_bps_z_last": 0.0,
         "tier0_score": 0.0, "attack_evidence": 0.0, "dominant_channel": 0, **dict.fromkeys(SCORES, 0.0), **dict.fromkeys(RISK_WEIGHTS, 0.0),
     }
@@ -143,7 +143,8 @@ def _frozen(s: dict) -> bool:
 
 
 def advance(s: dict, f: dict, kind: int, p: dict, learning: bool = False) -> dict:
-    """Take one window into the state, in place, and return it."""
+    """Take one window into the state, in place, and return it; learning mode is on for all, or for the slot by command."""
+    learning = learning or s.get("learning", False)
     z = {v: burst(s["recent"][v], f["fps_proto" if v == "fps" else v]) for v in VOLUMES}
     s["bw_pps_z_last"], s["bw_bps_z_last"] = z["pps"], z["bps"]
     b = s["baselines"]
@@ -223,7 +224,7 @@ def rebound(s: dict, old: dict, new: dict) -> dict:
     return s | {"baselines": b}
 
 
-COMMANDS = ("force_ewma_freeze", "force_attack_freeze", "release_freezes", "reset_transient")
+COMMANDS = ("force_ewma_freeze", "force_attack_freeze", "release_freezes", "reset_transient", "set_learning_mode")
 
 
 def commanded(s: dict, action: str, args: dict, p: dict) -> dict:
@@ -239,6 +240,10 @@ def commanded(s: dict, action: str, args: dict, p: dict) -> dict:
         return s | {"phase": NORMAL, "attack_freeze": False, "normal_run": 0, "ewma_freeze": 0, "cusum": dict.fromkeys(VOLUMES, 0.0)}
     if action == "reset_transient":
         return drained(s)
+    if action == "set_learning_mode":
+        if not isinstance(enabled := args.get("enabled"), bool):
+            raise ValueError("enabled must be true or false")
+        return s | {"learning": enabled}
     raise ValueError(f"unknown command {action!r}")
 
 
