@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickloom.cluster import ship_package
 from tickloom.operators import step
@@ -78,15 +79,17 @@ def detected(snapshots: DataFrame, profiles: DataFrame, commands: DataFrame | No
     wanted = [*KEY, "tick", *FEATURES, *(f"p_{c}" for c in PARAMS), "_commands", "_state"]
     keep = snapshots.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            out = pd.DataFrame(list(fold_rows((dict(zip(wanted, r, strict=True)) for r in b[wanted].itertuples(index=False, name=None)), learning, held)), columns=step.OUTPUTS)
-            yield pd.concat([b[keep].reset_index(drop=True), out], axis=1)
+            read = [b.column(c).to_pylist() for c in wanted]
+            out = list(fold_rows((dict(zip(wanted, r, strict=True)) for r in zip(*read, strict=True)), learning, held))
+            made = [pa.array([int(o[f.name]) if f.name in INTEGERS else float(o[f.name]) for o in out], pa.int32() if f.name in INTEGERS else pa.float64()) for f in OUTPUT_FIELDS]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, *step.OUTPUTS])
 
     schema = T.StructType([*snapshots.schema.fields, *OUTPUT_FIELDS])
     dealt = rows.select(*keep, *(c for c in wanted if c not in keep)).repartition(*KEY).sortWithinPartitions(*KEY, "tick")
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def states(snapshots: DataFrame, profiles: DataFrame, commands: DataFrame | None = None, state: DataFrame | None = None, learning: bool = False) -> DataFrame:
@@ -95,23 +98,25 @@ def states(snapshots: DataFrame, profiles: DataFrame, commands: DataFrame | None
     rows = prepared(snapshots, profiles, commands, state)
     wanted = [*KEY, "tick", *FEATURES, *(f"p_{c}" for c in PARAMS), "_commands", "_state"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kept(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip([*KEY, "state"], d, strict=True)) for d in done], schema=to_arrow_schema(STATES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        done: list[tuple] = []
         for b in batches:
-            for r in b[wanted].itertuples(index=False, name=None):
+            done: list[tuple] = []
+            for r in zip(*(b.column(c).to_pylist() for c in wanted), strict=True):
                 before = (held.get("key"), held.get("state"))
                 for _ in fold_rows(iter([dict(zip(wanted, r, strict=True))]), learning, held):
                     pass
                 if before[0] is not None and before[0] != held["key"]:
                     done.append((*before[0], step.dumped(before[1])))
             if done:
-                yield pd.DataFrame(done, columns=[*KEY, "state"])
-                done = []
+                yield kept(done)
         if held:
-            yield pd.DataFrame([(*held["key"], step.dumped(held["state"]))], columns=[*KEY, "state"])
+            yield kept([(*held["key"], step.dumped(held["state"]))])
 
-    return rows.select(*wanted).repartition(*KEY).sortWithinPartitions(*KEY, "tick").mapInPandas(run, STATES)
+    return rows.select(*wanted).repartition(*KEY).sortWithinPartitions(*KEY, "tick").mapInArrow(run, STATES)
 
 
 def drained_states(state: DataFrame) -> DataFrame:
