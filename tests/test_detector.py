@@ -243,6 +243,26 @@ def test_shadow_and_counters(spark, tmp_path):
         __import__("time").sleep(0.2)
     spark.streams.removeListener(seen)
     assert seen.rows_in >= 10 and seen.failed == 0 and seen.observed["facts"]["attack_rows"] >= 2
+    named = seen.named()
+    assert len(named) == 12 and named["read"] == seen.rows_in and named["inserted"] >= 10 and named["accepts"] == 1 and "queue_drops=0" in seen.line()
+
+
+def test_guarded_writer():
+    from tickloom.streaming import live
+
+    counters, calls = live.Counters(), []
+
+    def fails(batch, batch_id):
+        calls.append(batch_id)
+        if len(calls) < 2 or batch_id == 7:
+            raise OSError("gone")
+
+    counters.guarded(fails)(None, 1)
+    assert calls == [1, 1] and (counters.write_errors, counters.batches_dropped) == (1, 0)
+    counters.guarded(fails, drop=True)(None, 7)
+    assert (counters.write_errors, counters.batches_dropped) == (3, 1)
+    with pytest.raises(OSError):
+        counters.guarded(fails)(None, 7)
 
 
 def test_learning_mode_between_ticks(spark):

@@ -104,9 +104,40 @@ class Counters(StreamingQueryListener):
     """What a query has taken in and written, from its progress events; register it with ``spark.streams.addListener``."""
 
     def __init__(self) -> None:
-        self.batches = self.rows_in = self.started = self.stopped = self.failed = 0
+        self.batches = self.rows_in = self.started = self.stopped = self.failed = self.write_errors = self.batches_dropped = 0
         self.observed: dict[str, dict] = {}
 
+    def named(self) -> dict[str, int]:
+        """The counters by the names under which a collector reports them.
+
+        A source is read at its own pace and replayed after a failure, so no queue can
+        overflow: its depth and drops are 0 by construction.
+        """
+        seen = lambda name, key: self.observed.get(name, {}).get(key, 0)
+        return {
+            "read": self.rows_in, "parsed": seen("wire", "parsed"), "inserted": seen("facts", "rows"), "transitions": seen("transitions", "rows"), "temporal_rows": seen("temporal", "rows"),
+            "queue_depth": 0, "parse_errors": seen("wire", "errors"), "queue_drops": 0, "write_errors": self.write_errors, "batches_dropped": self.batches_dropped,
+            "accepts": self.started, "reconnects": max(0, self.started - 1),
+        }
+
+    def line(self) -> str:
+        return "[stats] " + " ".join(f"{k}={v}" for k, v in self.named().items())
+
+    def guarded(self, write: Callable[[DataFrame, int], None], tries: int = 2, drop: bool = False) -> Callable[[DataFrame, int], None]:
+        """A batch writer that tries again and counts what fails; at last it raises, so that the batch is replayed, or drops the batch."""
+
+        def put(batch: DataFrame, batch_id: int) -> None:
+            for left in reversed(range(tries)):
+                try:
+                    return write(batch, batch_id)
+                except Exception:
+                    self.write_errors += 1
+                    if not left and not drop:
+                        raise
+            self.batches_dropped += 1
+
+        return put
+
     def onQueryStarted(self, event) -> None:
         self.started += 1
 
@@ -126,6 +157,16 @@ class Counters(StreamingQueryListener):
         self.failed += event.exception is not None
 
 
+def parsed_counted(messages: DataFrame) -> DataFrame:
+    """Decoded messages that also count those parsed and those with an error."""
+    return messages.observe("wire", F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+def rows_counted(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a table that also count themselves, under its name."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
 def counted(stats: DataFrame, name: str = "facts") -> DataFrame:
     """Statistics rows that also count rows, transitions candidates and floor breaches as metrics of each batch."""
     return stats.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("phase") == 3).alias("attack_rows"), F.sum(F.col("absolute_floor_fired").cast("long")).alias("floor_rows"))
