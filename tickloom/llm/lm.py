@@ -352,10 +352,13 @@ def word_level(plan: Plan, b: pa.RecordBatch, hot_least: int) -> pa.RecordBatch:
     got = [unpacked(x) for x in b.column(5).to_pylist()]
     h, back = distinct(np.concatenate([g[0] for g in got]).astype(np.int64))
     n = np.bincount(back, np.concatenate([g[1] for g in got]), len(h)).astype(np.int64)
-    path = write_level(f"{plan.model}/1", uuid.uuid4().hex, {"keys": h[n > 0]}, {"count": n[n > 0]})
+    # numbers by falling count: most of what is sent later are the numbers of frequent words, which are small
+    number = np.empty((n > 0).sum(), np.int64)
+    number[np.argsort(-n[n > 0], kind="stable")] = np.arange(len(number))
+    path = write_level(f"{plan.model}/1", uuid.uuid4().hex, {"keys": h[n > 0]}, {"count": n[n > 0], "number": number})
     sequences, plain = read_level(path)
     at = sequences["keys"].find(h)
-    node = np.where(at >= 0, at * plan.shards[0] + shard + 1, 0)
+    node = np.where(at >= 0, np.append(plain["number"], 0)[at] * plan.shards[0] + shard + 1, 0)
     count = np.where(at >= 0, np.append(plain["count"], 0)[at], 0)
     ends = np.cumsum([len(g[0]) for g in got])
     often = count > hot_least
