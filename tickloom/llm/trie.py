@@ -104,14 +104,16 @@ class EliasFano:
         else:
             at = np.where(bucket > 0, _select(~self.high, self.zeros, np.maximum(bucket - 1, 0)) - (bucket - 1), 0)
             end = _select(~self.high, self.zeros, bucket) - bucket
-        while len(ask):
-            live = at < end
-            ask, at, end, part = ask[live], at[live], end[live], part[live]
-            low = self._low(at)
-            same = low == part
-            out[ask[same]] = at[same]
-            more = low < part
-            ask, at, end, part = ask[more], at[more] + 1, end[more], part[more]
+        # the low parts of a bucket rise, and may be many where keys lie close together
+        low, high, todo = at.copy(), end.copy(), np.flatnonzero(at < end)
+        while len(todo):
+            middle = (low[todo] + high[todo]) >> 1
+            less = self._low(middle) < part[todo]
+            low[todo[less]], high[todo[~less]] = middle[less] + 1, middle[~less]
+            todo = todo[low[todo] < high[todo]]
+        there = np.flatnonzero(low < end)
+        there = there[self._low(low[there]) == part[there]]
+        out[ask[there]] = low[there]
         return out
 
 
