@@ -62,7 +62,7 @@ KEEP = (1, 1, 2)
 DISCOUNT = 0.75
 HOT_SHARE, HOT_LEAST = 1 / 500_000, 50_000
 WORD_SHARD_BYTES = 48 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 20 << 20
 BLOCK_BYTES = 5 << 20
 #: Of compression.
 LEVEL = 3
