@@ -22,8 +22,8 @@ def test_every_sql_has_a_query():
 
 def test_overview(spark):
     row = queries.QUERIES["k01_overview"](spark, SF_SMALL).first()
-    assert sum(row.phase_counts.values()) > 0 and row.latest_timestamp == queries.AS_OF_S
-    assert set(row.phase_counts) == {"WARMUP", "NORMAL", "SUSPICIOUS", "ATTACK"}
+    assert row.n_warmup + row.n_normal + row.n_suspicious + row.n_attack > 0 and row.latest_timestamp == queries.AS_OF_S
+    assert 0 < len(row.top_slots.split(",")) <= 5
 
 
 def test_detector_rows_and_wire(spark):
