@@ -71,8 +71,8 @@ TASK_BLOCKS = 4
 END, START = 0, 0  # the end's hash; the number of the context of starts
 
 PLACE = "block long, path string, offset long, size long"
-ASKED = f"shard long, {PLACE}, payload binary"
-ANSWERED = f"{PLACE}, level int, shard long, payload binary, tokens long, vocabulary long, node array<long>, count array<long>, hot array<long>, own array<double>"
+ASKED = "shard long, block long, payload binary"
+ANSWERED = "block long, level int, shard long, payload binary, path string, tokens long, vocabulary long, node array<long>, count array<long>, hot array<long>, own array<double>"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -130,34 +130,45 @@ def token_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, number, lengths
 
 
+def cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches of whole texts with so many bytes, across the batches that come in; the last may be smaller."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+        start = 0
+        while start < b.num_rows:
+            stop = min(b.num_rows, max(start + 1, int(np.searchsorted(upto, upto[start] + block_bytes - size))))
+            held.append(b.slice(start, stop - start))
+            size += int(upto[stop] - upto[start])
+            start = stop
+            if size >= block_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def blocks(rows: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each block of (doc_id, text, held_out): where it and its words lie, its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         name, done, files, at = uuid.uuid4().hex, [], [], [0, 0]
-        for b in batches:
-            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-            many = -(-int(upto[-1]) // block_bytes) if b.num_rows else 1  # of about the same size
-            part = (upto - 1) * many // max(1, int(upto[-1])) if b.num_rows else upto
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if a == z:
-                    continue
-                s = b.slice(a, z - a)
-                words, number, lengths = token_block(s.column(1))
-                held = s.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
-                count = np.bincount(number[np.repeat(held == 0, lengths)], minlength=len(words))
-                ids = s.column(0)
-                blobs = packed(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().view(np.uint64), held, lengths, number), packed(words, count)
-                if not files:
-                    for kind in ("tokens", "words"):
-                        fs.create_dir(f"{root}/{kind}", recursive=True)
-                        files.append(fs.open_output_stream(f"{root}/{kind}/{name}", compression=None))
-                done.append((uuid.uuid4().int >> 65, at[0], len(blobs[0]), at[1], len(blobs[1]), int((held == 0).sum())))
-                for k, (f, blob) in enumerate(zip(files, blobs, strict=True)):
-                    f.write(blob)
-                    at[k] += len(blob)
+        for s in cut(batches, block_bytes):
+            words, number, lengths = token_block(s.column(1))
+            held = s.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+            count = np.bincount(number[np.repeat(held == 0, lengths)], minlength=len(words))
+            ids = s.column(0)
+            blobs = packed(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), ids.fill_null(0).to_numpy().view(np.uint64), held, lengths, number), packed(words, count)
+            if not files:
+                for kind in ("tokens", "words"):
+                    fs.create_dir(f"{root}/{kind}", recursive=True)
+                    files.append(fs.open_output_stream(f"{root}/{kind}/{name}", compression=None))
+            done.append((uuid.uuid4().int >> 65, at[0], len(blobs[0]), at[1], len(blobs[1]), int((held == 0).sum())))
+            for k, (f, blob) in enumerate(zip(files, blobs, strict=True)):
+                f.write(blob)
+                at[k] += len(blob)
         for f in files:
             f.close()
         cols = list(zip(*done, strict=True)) or [()] * 6
@@ -319,37 +330,38 @@ class Block:
         )
 
 
-def resumed(plan: Plan, answers: Iterator[pa.RecordBatch], upto: int) -> Iterator[tuple[tuple, Block]]:
-    """Each block of answers (block, level, shard and payload, sorted) with the orders up to one taken in, and where it lies."""
+def resumed(plan: Plan, answers: Iterator[pa.RecordBatch], upto: int) -> Iterator[tuple[int, Block]]:
+    """Each block with the orders up to one taken in; rows are (block, level, payload, shard, path, offset, size), sorted.
+
+    The row of level 0 says where the block lies.
+    """
     for b in whole_shards(answers):
-        place = tuple(b.column(k)[0].as_py() for k in range(4))
-        block, level, payload = Block(plan, *place[1:]), b.column(4).to_pylist(), b.column(5).to_pylist()
+        level, payload = b.column(1).to_pylist(), b.column(2).to_pylist()
+        block = Block(plan, *(b.column(k)[0].as_py() for k in (4, 5, 6)))
         for k in range(1, upto + 1):
             mine = [p for x, p in zip(level, payload, strict=True) if x == k]
             block.root(mine) if k == 1 else block.answered(k, mine)
-        yield place, block
+        yield b.column(0)[0].as_py(), block
 
 
-def _message(place: tuple, asked: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+def _message(block: int, asked: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
     shard, payload = zip(*asked, strict=True) if (asked := list(asked)) else ((), ())
-    cols = [[x] * len(shard) for x in place]
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array(payload, pa.binary())], names=["shard", "block", "path", "offset", "size", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([block] * len(shard), pa.int64()), pa.array(payload, pa.binary())], names=["shard", "block", "payload"])
 
 
 def _answer(b: pa.RecordBatch, level: int, payload: list[bytes], path: str, tokens: int, vocabulary: int, node: np.ndarray, count: np.ndarray, hot: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
     """Answers to the messages of a shard, and a last row that describes its level file."""
     n = b.num_rows
-    places = [pa.concat_arrays([b.column(k), pa.array([x], b.column(k).type)]) for k, x in ((1, None), (2, path), (3, None), (4, None))]
     lone = lambda x, kind: pa.array([None] * n + [x], kind)
-    cols = [*places, pa.array([level] * (n + 1), pa.int32()), pa.array([b.column(0)[0].as_py()] * (n + 1), pa.int64()), pa.array([*payload, None], pa.binary()), lone(tokens, pa.int64()), lone(vocabulary, pa.int64())]
+    cols = [pa.concat_arrays([b.column(1), pa.array([None], pa.int64())]), pa.array([level] * (n + 1), pa.int32()), pa.array([b.column(0)[0].as_py()] * (n + 1), pa.int64()), pa.array([*payload, None], pa.binary()), lone(path, pa.string()), lone(tokens, pa.int64()), lone(vocabulary, pa.int64())]
     cols += [lone(x.tolist(), pa.list_(t)) for x, t in ((node, pa.int64()), (count, pa.int64()), (hot, pa.int64()), (own, pa.float64()))]
-    return pa.RecordBatch.from_arrays(cols, names=["block", "path", "offset", "size", "level", "shard", "payload", "tokens", "vocabulary", "node", "count", "hot", "own"])
+    return pa.RecordBatch.from_arrays(cols, names=["block", "level", "shard", "payload", "path", "tokens", "vocabulary", "node", "count", "hot", "own"])
 
 
 def word_level(plan: Plan, b: pa.RecordBatch, hot_least: int) -> pa.RecordBatch:
     """Add up a shard's words, write its level and answer each word with its number (0: unknown) and count."""
     shard = b.column(0)[0].as_py()
-    got = [unpacked(x) for x in b.column(5).to_pylist()]
+    got = [unpacked(x) for x in b.column(2).to_pylist()]
     h, back = distinct(np.concatenate([g[0] for g in got]).astype(np.int64))
     n = np.bincount(back, np.concatenate([g[1] for g in got]), len(h)).astype(np.int64)
     # numbers by falling count: most of what is sent later are the numbers of frequent words, which are small
@@ -368,7 +380,7 @@ def word_level(plan: Plan, b: pa.RecordBatch, hot_least: int) -> pa.RecordBatch:
 def deep_level(plan: Plan, b: pa.RecordBatch, level: int, hot_least: int) -> pa.RecordBatch:
     """Add up a shard's n-grams, write its level and answer each with its node, probability and backoff weight."""
     shard, keep = b.column(0)[0].as_py(), plan.keep[level - 1]
-    got = [unpacked(x) for x in b.column(5).to_pylist()]
+    got = [unpacked(x) for x in b.column(2).to_pylist()]
     context, run = distinct(np.concatenate([np.cumsum(g[0].astype(np.int64)) for g in got]))
     whole = np.bincount(run, np.concatenate([g[4] for g in got]), len(context)).astype(np.int64)
     back = np.repeat(run, np.concatenate([g[1] for g in got]))
@@ -435,14 +447,14 @@ def scored(docs: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, wo
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for *place, offset, n in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                yield _message(place, asked_words(plan, *stored(place[1].replace("/tokens/", "/words/", 1), offset, n)))
+            for block, path, _, _, offset, n in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                yield _message(block, asked_words(plan, *stored(path.replace("/tokens/", "/words/", 1), offset, n)))
 
     def by_block(answers: list[DataFrame]) -> DataFrame:
-        every = answers[0]
-        for a in answers[1:]:
-            every = every.unionByName(a)
-        every = every.where("block is not null").select("block", "path", "offset", "size", "level", "payload", "shard")
+        none = lambda kind: F.lit(None).cast(kind)
+        every = where.select("block", F.lit(0).alias("level"), none("binary").alias("payload"), none("long").alias("shard"), "path", "offset", "size")
+        for a in answers:
+            every = every.unionByName(a.where("block is not null").select("block", "level", "payload", "shard", none("string").alias("path"), none("long").alias("offset"), none("long").alias("size")))
         return every.repartition(tasks, "block").sortWithinPartitions("block", "level", "shard")
 
     def asked(level: int, answers: list[DataFrame]) -> DataFrame:
@@ -450,8 +462,8 @@ def scored(docs: DataFrame, order: int = ORDER, keep: tuple[int, ...] = KEEP, wo
             return map_arrow(where.drop("documents").repartition(tasks), ask_words, ASKED)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for place, block in resumed(plan, batches, level - 1):
-                yield _message(place, block.asked(level))
+            for number, block in resumed(plan, batches, level - 1):
+                yield _message(number, block.asked(level))
 
         return map_arrow(by_block(answers), run, ASKED)
 
