@@ -95,7 +95,7 @@ def test_lm_scores(spark, order, keep, size, hot):
     assert len(got) == len(data)
     for a, b in zip(got, sorted(want, key=key)):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4])
-        assert abs(a[5] - b[5]) <= 0.0004 * order * a[1]  # steps of the codes
+        assert abs(a[5] - b[5]) <= 0.0013 * order * a[1]  # half a step of the codes for each order
 
 
 def test_lm_query_rows(spark):

@@ -9,7 +9,7 @@ there are about as many questions as elements.  A level of the trie keeps
   stays inside its context;
 * its pointers: where each context's successors begin, monotone too;
 * its values: exact counts at the root, below it probabilities and backoff weights as
-  logarithms in 65,535 steps, which differ from the exact ones by 0.00008 at most.
+  logarithms in 4,095 steps, which differ from the exact ones by 0.0013 at most.
 
 All searches take arrays and run in lockstep.  Sequences hold integers below 2**63;
 larger ones raise.
@@ -24,7 +24,7 @@ import numpy as np
 from tickloom.llm.warc import filesystem
 
 #: Log probabilities are kept in steps of LOWEST / STEPS; the code after the last stands for none.
-LOWEST, STEPS = -10.0, 65_534
+LOWEST, STEPS = -10.0, 4_094
 ABSENT = STEPS + 1
 
 
