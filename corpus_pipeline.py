@@ -33,7 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a similarity of 0.8 in five-word shingles the smallest doc_id stays."""
+    """Of each group of texts linked by a similarity of 0.8 in five-word shingles the smallest doc_id stays.
+
+    SimHash fingerprints in BK-trees, and MinHash bands beyond their radius, propose what is compared exactly.
+    """
     return nearcopies.deduplicated(docs)
 
 

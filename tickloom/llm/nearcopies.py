@@ -1,13 +1,16 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash and exact Jaccard similarity of five-word shingles.
 
 Two texts are linked if the sets of their shingles have a Jaccard similarity of
 ``SIMILARITY`` or more; components of links are the groups, and the smallest doc_id
-of each stays.  SimHash cannot find such pairs at a radius that a BK-tree can search
-(the README has figures), so MinHash bands propose pairs and each is compared exactly.
+of each stays.  Texts with equal sets are one node before anything else.  Each set has a
+SimHash fingerprint, and the sharded BK-trees of :mod:`simhash` link fingerprints within
+``RADIUS`` bits: a component of these is a bucket, in which all nodes meet and are
+compared exactly.  Pairs at the threshold may differ in more bits than a BK-tree can
+search (the README has figures), so nodes that share a MinHash band meet in a bucket too.
 
 A pair at the threshold shares none of ``BANDS`` bands of ``ROWS`` minima with
 probability (1 - 0.8 ** 5) ** 32 = 3e-6, a closer one with less; no other pair is left
-out.  Texts with equal sets are one node before anything else.  In each band's bucket
+out, and none that the fingerprints link.  In each bucket
 every node is first compared with the bucket's hub, the node that meets most others
 over all its buckets, and components are formed.  Where a bucket then still holds
 several components, its nodes outside the largest are compared with all others of the
@@ -35,13 +38,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tickloom.cluster import written
+from tickloom.llm import simhash
 from tickloom.llm.common import bytes_list, join_documents, map_arrow, unpacked, whole_rows
 from tickloom.llm.components import components
-from tickloom.llm.simhash import hashes
 from tickloom.llm.substrings import whole_shards
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # as a fraction, so that ties are exact
+#: Bits in which fingerprints may differ that propose a pair.
+RADIUS = 6
 #: Nodes of one slice of a bucket, about.
 CELL_ROWS = 256
 BANDS = 32
@@ -53,7 +58,7 @@ _ODD = _ODD * np.uint64(2) + np.uint64(1)
 
 def shingles(raw: bytes | None) -> np.ndarray:
     """The set of a text's shingles, as sorted hashes."""
-    return np.unique(hashes((raw or b"").lower(), SHINGLE))
+    return np.unique(simhash.hashes((raw or b"").lower(), SHINGLE))
 
 
 def bands(s: np.ndarray) -> list[int]:
@@ -77,20 +82,29 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * down >= (len(a) + len(b) - both) * up
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, n, keys): a node is the hash of a set of n shingles, keys are its bands'."""
+def _nodes(docs: DataFrame, minhash: bool = True) -> DataFrame:
+    """(doc_id, th, node, n, fp, keys): a node is the hash of a set of n shingles, fp its fingerprint, keys are its bands'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(raw) for raw in bytes_list(b.column(1))]
             node = np.array([xxh64_intdigest(s.astype("<u8").tobytes()) for s in sets], np.uint64)
-            keys = pa.array([np.array(bands(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            fp = np.array([simhash.fingerprint(s) for s in sets], np.uint64)
+            keys = pa.array([np.array(bands(s) if minhash else [], np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), keys],
-                names=["doc_id", "th", "node", "n", "keys"],
+                [b.column(0), b.column(2), pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp.view(np.int64)), keys],
+                names=["doc_id", "th", "node", "n", "fp", "keys"],
             )
 
-    return map_arrow(whole_rows(docs).select("doc_id", "text", "th"), run, "doc_id long, th long, node long, n long, keys array<long>")
+    return map_arrow(whole_rows(docs).select("doc_id", "text", "th"), run, "doc_id long, th long, node long, n long, fp long, keys array<long>")
+
+
+def _close(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, n, key): nodes whose fingerprints the BK-trees link, directly or by way of others, have one key."""
+    fps = nodes.where("n > 0").select("node", "n", "fp").distinct()
+    comp = components(simhash.links(written(fps.select("fp").distinct(), "nearcopies-fps"), radius), "nearcopies-simhash")
+    root = written(comp.select(F.col("node").alias("_fp"), "root"), "nearcopies-close")
+    return fps.join(root, F.col("fp") == F.col("_fp"), "left").select("node", "n", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
@@ -183,12 +197,16 @@ def _ordered(a, b):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def rooted(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, th, root) for every document; documents of one group have one root."""
+def rooted(docs: DataFrame, cell_rows: int = CELL_ROWS, minhash: bool = True, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, th, root) for every document; documents of one group have one root.
+
+    Without ``minhash`` only the fingerprints propose pairs, which shows what they find by themselves.
+    """
     up, down = SIMILARITY
-    every = written(_nodes(docs), "nearcopies")
+    every = written(_nodes(docs, minhash), "nearcopies")
     ids = every.select("doc_id", "th", "node")
-    one = every.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
+    close = written(_close(every, radius), "nearcopies-fingerprints")
+    one = every.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key")).unionByName(close)
     counts = written(one.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "nearcopies-counts")
     shared = written(one.join(counts, "key"), "nearcopies-shared")
     meets = written(shared.groupBy("node").agg(F.sum("c").alias("meets")), "nearcopies-meets")
